@@ -34,7 +34,6 @@ from .operators.parse import (
     get_format_info,
     get_supported_formats,
     parse,
-    parse_windows_events,
     register_parser,
     unregister_parser,
 )

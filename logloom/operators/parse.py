@@ -231,15 +231,3 @@ def parse(
         own = parse(df.filter(F.col("format") == name), name, config)
         parsed = parsed.unionByName(own, allowMissingColumns=True)
     return parsed
-
-
-def parse_windows_events(events: DataFrame) -> DataFrame:
-    """Rows of the XML source (one ``<Event>`` each) as ``LOG_SCHEMA``."""
-    from .parse_xml import event_record
-
-    event = F.struct("System", "EventData")
-    return events.select(
-        *_origin(events),
-        F.lit("windows_event_xml").alias("format"),
-        F.inline(F.transform(F.array(event), event_record)),
-    )

@@ -1,4 +1,4 @@
-"""Parser for Windows event XML, from text or from rows of the XML source."""
+"""Parser for Windows event XML."""
 
 from __future__ import annotations
 

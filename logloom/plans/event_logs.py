@@ -66,10 +66,10 @@ BASE_COLUMNS = {
 }
 
 #: The same columns for the checking database, as a common table expression.
-BASE_SQL = (
-    "WITH base AS (SELECT "
+BASE_CTE = (
+    "base AS (SELECT "
     + ", ".join(f"{sql} AS {name}" for name, sql in BASE_COLUMNS.items())
-    + " FROM events) "
+    + " FROM events)"
 )
 
 
@@ -170,3 +170,53 @@ def rendered(spark: SparkSession, sf_dir: str, format: str) -> DataFrame:
         F.col("event_id").alias("line_id"),
         line_text(format).alias("value"),
     )
+
+
+#: Lines of a mixed source are numbered event by event, at most 16 for each.
+LINES_PER_EVENT = 16
+MIXED_FORMATS = (
+    "custom", "syslog", "apache", "apache_modjk", "tomcat_connector", "json", "docker_json",
+    "kubernetes_json", "cloudwatch_export", "gcp_cloud_logging", "windows_event_xml", "generic",
+)
+STACK_FRAME = "\n\tat worker.run(worker.py:7)"
+
+
+def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as lines of twelve sources, each in a format of its own.
+
+    Errors of the bracketed format carry a stack frame on a second line.
+    """
+    number = F.col("event_id") % len(MIXED_FORMATS)
+    record = F
+    for i, name in enumerate(MIXED_FORMATS):
+        # A blank at the front would make a line continue the one before it.
+        text = F.trim(line_text(name))
+        if name == "custom":
+            text = F.when(_C("level") == "ERROR", _text(text, STACK_FRAME)).otherwise(text)
+        record = record.when(number == i, text)
+    return (
+        base_events(spark, sf_dir)
+        .select(_text("src", number.cast("string")).alias("source"), "event_id", record.alias("r"))
+        .select("source", "event_id", F.posexplode(F.split("r", "\n")).alias("i", "value"))
+        .select(
+            "source", (F.col("event_id") * LINES_PER_EVENT + F.col("i")).alias("line_id"), "value"
+        )
+    )
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents, every third with a time put before it."""
+    return (
+        spark.read.parquet(f"{sf_dir}/documents.parquet")
+        .select(
+            F.col("doc_id").cast("string").alias("source"),
+            F.posexplode(F.split("text", "\n")).alias("i", "line"),
+        )
+        .select(
+            "source",
+            F.col("i").cast("bigint").alias("line_id"),
+            F.when(F.col("i") % 3 == 0, F.concat(F.lit("[2024-01-01 00:00:00] "), "line"))
+            .otherwise(F.col("line"))
+            .alias("value"),
+        )
+    )

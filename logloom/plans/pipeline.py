@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.assemble import assemble_records, records_of
+from ..operators.assemble import records_of
 from ..operators.detect import with_format
 from ..operators.enrich import add_enrichments
 from ..operators.ordering import max_lines as first_lines
 from ..operators.parse import FORMATS, parse
 from ..operators.redact import add_redacted
-from ..sources.lines import read_lines
-from ..functions import fixed_values as fv
+from ..sources.lines import read_lines, read_windows_events
 
 
 def logs_from_lines(
@@ -28,23 +28,17 @@ def logs_from_lines(
     """Detect, stitch, parse, enrich and perhaps redact a table of lines.
 
     Every source gets its own format unless ``format`` names one for all.
+    Formats are told from all lines; ``max_lines`` caps what is then parsed.
     """
     if format is None:
-        # The format is told from all lines; the cap comes after.
-        records = records_of(first_lines(with_format(lines, order), max_lines))
+        logs = parse(
+            records_of(first_lines(with_format(lines, order), max_lines)), None, config, year=year
+        )
+    elif format in FORMATS and FORMATS[format].table is not None:
+        logs = parse(first_lines(lines, max_lines), format, config)
     else:
-        capped = first_lines(lines, max_lines)
-        own = format in FORMATS and FORMATS[format].table is not None
-        whole = own or (format in fv.STRUCTURED_FORMATS and format != "windows_event_xml")
-        if whole:
-            records = capped
-        elif format == "windows_event_xml":
-            from pyspark.sql import functions as F
-
-            records = records_of(capped.withColumn("format", F.lit(format)))
-        else:
-            records = assemble_records(capped)
-    logs = parse(records, format, config, year=year)
+        named = first_lines(lines, max_lines).withColumn("format", F.lit(format))
+        logs = parse(records_of(named), format, config, year=year)
     if enrich:
         logs = add_enrichments(logs)
     return add_redacted(logs) if redact else logs
@@ -54,4 +48,10 @@ def load_logs(
     spark: SparkSession, path: str | list[str], format: str | None = None, **options
 ) -> DataFrame:
     """A directory, file or glob of log text as a log table."""
+    if format == "windows_event_xml" and not options.get("max_lines"):
+        options.pop("max_lines", None)
+        logs = parse(read_windows_events(spark, path), format)
+        if options.get("enrich", True):
+            logs = add_enrichments(logs)
+        return add_redacted(logs) if options.get("redact") else logs
     return logs_from_lines(read_lines(spark, path), format, **options)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Bits of a line id that count lines within an input partition. The bits above
-# hold where the file's block starts, in units of 4 KiB.
+# The low bits of a line id count lines within an input partition; the bits
+# above tell the file's blocks apart.
 _LINE_BITS = 30
-_BLOCK_UNIT_BITS = 12
 
 
 def _clean(value: Column, encoding: str) -> Column:
@@ -19,19 +20,32 @@ def _clean(value: Column, encoding: str) -> Column:
     return F.when(F.is_valid_utf8(value), value).otherwise(repaired)
 
 
-def _line_id() -> Column:
+def _bytes(size: str) -> int:
+    """A size as Spark's settings write it: 134217728, 128m, 128MB."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", size.lower()).groups()
+    return int(number) * 1024 ** ("kmgtp".index(unit) + 1 if unit else 0)
+
+
+def _line_id(spark: SparkSession) -> Column:
     """A number that orders the lines of a file, also across its blocks.
 
     Spark numbers rows within an input partition, and a partition reads each
     block in order, so block start and row number together give the order
-    without a shuffle. Blocks are at least 4 KiB.
+    without a shuffle. A block is never smaller than the lesser of the two
+    sizes below, so its start divided by that tells it from all others.
     """
+    least = min(
+        _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")),
+        _bytes(spark.conf.get("spark.sql.files.openCostInBytes")),
+    )
+    block = F.shiftright(F.col("_metadata.file_block_start"), max(least.bit_length() - 1, 0))
     in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    checked = F.when(in_partition < (1 << _LINE_BITS), in_partition).otherwise(
-        F.raise_error(F.lit("an input partition holds over 2**30 lines; read smaller files"))
+    fits = (in_partition < (1 << _LINE_BITS)) & (block < (1 << 33))
+    return F.when(fits, F.shiftleft(block, _LINE_BITS) + in_partition).otherwise(
+        F.raise_error(
+            F.lit("too many lines in an input partition or blocks in a file to number them")
+        )
     )
-    block = F.shiftright(F.col("_metadata.file_block_start"), _BLOCK_UNIT_BITS)
-    return F.shiftleft(block, _LINE_BITS) + checked
 
 
 def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-8") -> DataFrame:
@@ -44,7 +58,7 @@ def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("source"),
-            _line_id().alias("line_id"),
+            _line_id(spark).alias("line_id"),
             _clean(F.col("value"), encoding).alias("value"),
             F.col("_metadata.file_modification_time").alias("modified"),
         )
@@ -78,18 +92,23 @@ def lines_of_table(df: DataFrame, value: str, line_id: str, source: Column | str
 
 
 def read_windows_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Windows event exports, one row per ``<Event>``, split across blocks.
+    """Windows event exports, one row per complete ``<Event>`` element.
 
-    Give the result to ``parse_windows_events``.
+    The closing tag serves as the separator of rows, so that a file of any
+    size is split among tasks and no line breaks are needed, and events need
+    not stand below one root element. Spark's own XML source reads a file in
+    one task. The rows are those of ``read_lines``.
     """
-    from ..operators.parse_xml import EVENT_SCHEMA
-
-    paths = [path] if isinstance(path, str) else path
+    event = F.regexp_extract("value", r"(?s)^.*(<Event[ >].*)$", 1)
     return (
-        spark.read.format("xml")
-        .options(rowTag="Event", mode="PERMISSIVE")
-        .schema(EVENT_SCHEMA)
-        .load(paths)
-        .select("System", "EventData", F.col("_metadata.file_path").alias("source"))
-        .withColumn("record_id", F.monotonically_increasing_id())
+        spark.read.option("lineSep", "</Event>")
+        .text(path)
+        .select(
+            F.col("_metadata.file_path").alias("source"),
+            _line_id(spark).alias("line_id"),
+            _clean(event, "utf-8").alias("value"),
+            F.col("_metadata.file_modification_time").alias("modified"),
+        )
+        .filter(F.col("value") != "")
+        .withColumn("value", F.concat("value", F.lit("</Event>")))
     )
