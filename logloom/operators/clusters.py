@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.clustering import KMeans
+from pyspark import inheritable_thread_target
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -16,6 +18,9 @@ from ..functions import fixed_values as fv
 from ..functions.predicates import is_error
 from .phrases import stop_words, words
 
+#: Starts of K-means that run at the same time.
+PARALLEL_STARTS = 5
+
 CLUSTER_SCHEMA = T.StructType(
     [T.StructField("message", T.StringType()), T.StructField("cluster", T.IntegerType())]
 )
@@ -23,17 +28,17 @@ CLUSTER_SCHEMA = T.StructType(
 
 def _vocabulary(tokenised: DataFrame, size: int) -> list:
     """The most frequent words, and the weight of messages that hold each."""
-    in_order = F.sort_array("tokens")
+    in_order = tokenised.select(F.sort_array("tokens").alias("tokens"), "weight")
     marked = F.transform(
-        in_order,
+        "tokens",
         lambda word, i: F.struct(
             word.alias("word"),
             # In sorted order a word's first place differs from the one before.
-            F.coalesce(word != F.get(in_order, i - 1), F.lit(True)).alias("first"),
+            F.coalesce(word != F.get("tokens", i - 1), F.lit(True)).alias("first"),
         ),
     )
     return (
-        tokenised.select(F.inline(marked), "weight")
+        in_order.select(F.inline(marked), "weight")
         .groupBy("word")
         .agg(
             F.sum("weight").alias("tf"),
@@ -92,11 +97,14 @@ def cluster_errors(
             return unit.transform(scaler.transform(counter.transform(df)))
 
         points = vectors(distinct).select("features", "weight").persist()
+
+        def start(i: int) -> KMeansModel:
+            return KMeans(k=k, seed=seed + i, weightCol="weight", maxIter=300).fit(points)
+
         try:
-            models = [
-                KMeans(k=k, seed=seed + i, weightCol="weight", maxIter=300).fit(points)
-                for i in range(restarts)
-            ]
+            # The starts are independent jobs on the same cached points.
+            with ThreadPool(min(restarts, PARALLEL_STARTS)) as pool:
+                models = pool.map(inheritable_thread_target(spark)(start), range(restarts))
         finally:
             points.unpersist()
     finally:

@@ -19,64 +19,92 @@ def _objects(text: Column) -> Column:
     return F.filter(F.array(parsed), lambda v: v.isNotNull())
 
 
-def _path(*keys: str) -> str:
-    return "$" + "".join(f"['{key}']" for key in keys)
+class _Found:
+    """The values read from one JSON object, each by its key or path."""
 
+    def __init__(self, row: Column, keys: tuple[str, ...]):
+        self._row, self._keys = row, keys
 
-def _value(obj: Column, *keys: str) -> Column:
-    """The text of a value; NULL if missing or null."""
-    return F.try_variant_get(obj, _path(*keys), "string")
+    def value(self, key: str) -> Column:
+        """The text of a value; NULL if missing or null."""
+        return self._row[f"v{self._keys.index(key)}"]
 
+    def kind(self, key: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(self._row["o"], _path(key), "variant"))
 
-def _kind(obj: Column, *keys: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(obj, _path(*keys), "variant"))
+    def filled(self, key: str) -> Column:
+        """The text of a value unless it is empty: '', 0, false, {} and [] are."""
+        value = self.value(key)
+        # Only these texts can stand for an empty value; the type settles which do.
+        suspect = value.rlike(r"^(-?0(\.0+)?([eE].*)?|false|\{\}|\[\])$")
+        return F.when((value != "") & ~(suspect & (self.kind(key) != "STRING")), value)
 
+    def first(self, *keys: str, default: str | None = None) -> Column:
+        return F.coalesce(*[self.filled(key) for key in keys], F.lit(default))
+
+    def or_if_absent(self, key: str, default: str) -> Column:
+        """The default only where the key itself is missing; a null value stays."""
+        missing = F.try_variant_get(self._row["o"], _path(key), "variant").isNull()
+        return F.when(missing, F.lit(default)).otherwise(self.value(key))
+
+    def payload(self, key: str) -> Column:
+        """An object as compact JSON text; other values are no payload."""
+        return F.when(self.kind(key).startswith("OBJECT"), self.value(key))
 
-def _filled(obj: Column, *keys: str) -> Column:
-    """The text of a value unless it is empty: '', 0, false, {} and [] are."""
-    value = _value(obj, *keys)
-    # Only these texts can stand for an empty value; the type settles which do.
-    suspect = value.rlike(r"^(-?0(\.0+)?([eE].*)?|false|\{\}|\[\])$")
-    return F.when(
-        (value != "") & ~(suspect & (_kind(obj, *keys) != "STRING")), value
-    )
 
+def _path(key: str) -> str:
+    return "$" + "".join(f"['{part}']" for part in key.split("."))
 
-def _first(obj: Column, *keys: str, default: str | None = None) -> Column:
-    options = [_filled(obj, key) for key in keys]
-    return F.coalesce(*options, F.lit(default))
 
+def _records(
+    text: Column, keys: tuple[str, ...], build: Callable[[_Found], dict[str, Column]]
+) -> Column:
+    """Read all keys once, then choose among them, then read the time.
 
-def _or_default_if_absent(obj: Column, key: str, default: str) -> Column:
-    """The default only where the key itself is missing; a null value stays."""
-    missing = F.try_variant_get(obj, _path(key), "variant").isNull()
-    return F.when(missing, F.lit(default)).otherwise(_value(obj, key))
+    Each step is a transform of its own, since a value bound by a transform is
+    computed once, however often the next step uses it.
+    """
 
+    def read(obj: Column) -> Column:
+        values = [
+            F.try_variant_get(obj, _path(key), "string").alias(f"v{i}")
+            for i, key in enumerate(keys)
+        ]
+        return F.struct(obj.alias("o"), *values)
 
-def _records(text: Column, build: Callable[[Column], dict[str, Column]]) -> Column:
-    def row(obj: Column) -> Column:
-        fields = build(obj)
-        fields["timestamp"] = ts.any_layout(fields["timestamp_raw"])
-        return record(**fields)
+    def choose(row: Column) -> Column:
+        return F.struct(*[c.alias(name) for name, c in build(_Found(row, keys)).items()])
 
-    return F.transform(_objects(text), row)
+    def finish(row: Column) -> Column:
+        return record(timestamp=ts.any_layout(row["time"]), timestamp_raw=row["time"], **{
+            name: row[name] for name in names if name != "time"
+        })
+
+    # Names only; the columns of this call are not used.
+    names = list(build(_Found(F.col("unused"), keys)))
+    return F.transform(F.transform(F.transform(_objects(text), read), choose), finish)
 
 
 def json_records(text: Column, options) -> Column:
     """Application logs, with the field names of the common frameworks."""
+    keys = (
+        "timestamp", "time", "@timestamp", "level", "severity", "logLevel", "message", "msg",
+        "log", "textPayload", "ip", "client_ip", "user_agent", "userAgent", "httpUserAgent",
+        "status", "status_code", "response_time", "latency", "request_time", "module", "logger",
+        "logName", "logStream",
+    )
     return _records(
         text,
+        keys,
         lambda o: {
-            "timestamp_raw": _first(o, "timestamp", "time", "@timestamp"),
-            "level": _first(o, "level", "severity", "logLevel", default="UNKNOWN"),
-            "message": _first(o, "message", "msg", "log", "textPayload", default=""),
-            "ip": _first(o, "ip", "client_ip"),
-            "user_agent": _first(o, "user_agent", "userAgent", "httpUserAgent"),
-            "status_code": _first(o, "status", "status_code"),
-            "request_time": _first(o, "response_time", "latency", "request_time"),
-            "module": _first(
-                o, "module", "logger", "logName", "logStream", default="unknown"
-            ),
+            "time": o.first("timestamp", "time", "@timestamp"),
+            "level": o.first("level", "severity", "logLevel", default="UNKNOWN"),
+            "message": o.first("message", "msg", "log", "textPayload", default=""),
+            "ip": o.first("ip", "client_ip"),
+            "user_agent": o.first("user_agent", "userAgent", "httpUserAgent"),
+            "status_code": o.first("status", "status_code"),
+            "request_time": o.first("response_time", "latency", "request_time"),
+            "module": o.first("module", "logger", "logName", "logStream", default="unknown"),
         },
     )
 
@@ -84,66 +112,67 @@ def json_records(text: Column, options) -> Column:
 def docker_records(text: Column, options) -> Column:
     return _records(
         text,
+        ("time", "level", "container_name", "source", "log", "user_agent"),
         lambda o: {
-            "timestamp_raw": _value(o, "time"),
-            "level": _or_default_if_absent(o, "level", "INFO"),
-            "module": _first(o, "container_name", "source", default="docker"),
-            "message": tx.rstrip(_first(o, "log", default="")),
-            "user_agent": _value(o, "user_agent"),
+            "time": o.value("time"),
+            "level": o.or_if_absent("level", "INFO"),
+            "module": o.first("container_name", "source", default="docker"),
+            "message": tx.rstrip(o.first("log", default="")),
+            "user_agent": o.value("user_agent"),
         },
     )
 
 
 def kubernetes_records(text: Column, options) -> Column:
-    def build(o: Column) -> dict[str, Column]:
-        place = F.concat_ws(
-            "/",
-            _filled(o, "kubernetes", "namespace_name"),
-            _filled(o, "kubernetes", "pod_name"),
-            _filled(o, "kubernetes", "container_name"),
-        )
-        return {
-            "timestamp_raw": _first(o, "time", "timestamp"),
-            "level": _first(o, "level", "severity", default="INFO"),
-            "module": F.coalesce(tx.blank_to_null(place), F.lit("kubernetes")),
-            "message": _first(o, "log", "message", default=""),
-            "user_agent": _first(o, "userAgent", "httpUserAgent"),
-        }
-
-    return _records(text, build)
+    place = ("kubernetes.namespace_name", "kubernetes.pod_name", "kubernetes.container_name")
+    return _records(
+        text,
+        (*place, "time", "timestamp", "level", "severity", "log", "message", "userAgent", "httpUserAgent"),
+        lambda o: {
+            "time": o.first("time", "timestamp"),
+            "level": o.first("level", "severity", default="INFO"),
+            "module": F.coalesce(
+                tx.blank_to_null(F.concat_ws("/", *[o.filled(key) for key in place])),
+                F.lit("kubernetes"),
+            ),
+            "message": o.first("log", "message", default=""),
+            "user_agent": o.first("userAgent", "httpUserAgent"),
+        },
+    )
 
 
 def cloudwatch_records(text: Column, options) -> Column:
     return _records(
         text,
+        ("timestamp", "level", "severity", "logGroup", "logStream", "message", "@message", "userAgent"),
         lambda o: {
-            "timestamp_raw": _value(o, "timestamp"),
-            "level": _first(o, "level", "severity", default="INFO"),
-            "module": _first(o, "logGroup", "logStream", default="cloudwatch"),
-            "message": _first(o, "message", "@message", default=""),
-            "user_agent": _value(o, "userAgent"),
+            "time": o.value("timestamp"),
+            "level": o.first("level", "severity", default="INFO"),
+            "module": o.first("logGroup", "logStream", default="cloudwatch"),
+            "message": o.first("message", "@message", default=""),
+            "user_agent": o.value("userAgent"),
         },
     )
 
 
 def gcp_records(text: Column, options) -> Column:
     """A payload that is an object becomes the message as compact JSON."""
-
-    def payload(o: Column, key: str) -> Column:
-        return F.when(_kind(o, key).startswith("OBJECT"), _value(o, key))
-
-    def build(o: Column) -> dict[str, Column]:
-        return {
-            "timestamp_raw": _first(o, "timestamp", "receiveTimestamp"),
-            "level": _or_default_if_absent(o, "severity", "INFO"),
-            "module": F.substring_index(_first(o, "logName", default="gcp"), "/", -1),
+    return _records(
+        text,
+        (
+            "timestamp", "receiveTimestamp", "severity", "logName", "textPayload", "jsonPayload",
+            "protoPayload", "httpRequest.userAgent",
+        ),
+        lambda o: {
+            "time": o.first("timestamp", "receiveTimestamp"),
+            "level": o.or_if_absent("severity", "INFO"),
+            "module": F.substring_index(o.first("logName", default="gcp"), "/", -1),
             "message": F.coalesce(
-                _filled(o, "textPayload"),
-                payload(o, "jsonPayload"),
-                payload(o, "protoPayload"),
+                o.filled("textPayload"),
+                o.payload("jsonPayload"),
+                o.payload("protoPayload"),
                 F.lit(""),
             ),
-            "user_agent": _value(o, "httpRequest", "userAgent"),
-        }
-
-    return _records(text, build)
+            "user_agent": o.value("httpRequest.userAgent"),
+        },
+    )

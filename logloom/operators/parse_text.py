@@ -88,16 +88,21 @@ def access_records(text: Column, options) -> Column:
 def generic_records(text: Column, options) -> Column:
     """Any text is a record; time, level and address are looked for in it."""
 
-    def build(line: Column) -> Column:
-        time = tx.first_match(line, tx.UNICODE + fv.TIMESTAMP_IN_TEXT)
-        level = tx.first_match(line, tx.UNICODE_NO_CASE + fv.LEVEL_IN_TEXT)
+    def find(line: Column) -> Column:
+        return F.struct(
+            tx.first_match(line, tx.UNICODE + fv.TIMESTAMP_IN_TEXT).alias("time"),
+            tx.first_match(line, tx.UNICODE_NO_CASE + fv.LEVEL_IN_TEXT).alias("level"),
+            line.alias("line"),
+        )
+
+    def build(found: Column) -> Column:
         return record(
-            timestamp=ts.iso_seconds(time),
-            timestamp_raw=time,
-            level=F.coalesce(F.upper(level), F.lit("UNKNOWN")),
+            timestamp=ts.iso_seconds(found["time"]),
+            timestamp_raw=found["time"],
+            level=F.coalesce(F.upper(found["level"]), F.lit("UNKNOWN")),
             module=F.lit("unknown"),
-            message=tx.strip(line),
-            ip=tx.first_match(line, tx.UNICODE + fv.IPV4),
+            message=tx.strip(found["line"]),
+            ip=tx.first_match(found["line"], tx.UNICODE + fv.IPV4),
         )
 
-    return F.transform(F.array(text), build)
+    return F.transform(F.transform(F.array(text), find), build)
