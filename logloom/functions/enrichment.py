@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,22 +24,39 @@ def _alternatives(pattern: str) -> list[str]:
     return parts
 
 
+def _needed_text(pattern: str) -> tuple[str, bool]:
+    """The longest plain text every match holds, and whether that is all of it."""
+    runs, depth = [""], 0
+    tokens = re.findall(r"\\.|.", pattern)
+    for token, after in zip(tokens, tokens[1:] + [""]):
+        depth += (token in "([") - (token in ")]")
+        plain = token.isalnum() or token in " :-_/" or (token[0] == "\\" and not token[1].isalnum())
+        if depth == 0 and plain and after not in tuple("?*{+"):
+            runs[-1] += token[-1]
+        else:
+            runs.append("")
+    longest = max(runs, key=len)
+    return longest, re.sub(r"\\(\W)", r"\1", pattern) == longest
+
+
 def _contains_any(lowered: Column, pattern: str) -> Column:
     """Whether text, given in lower case, holds a case-insensitive pattern.
 
-    Alternatives that are plain words become substring searches, which cost a
-    fraction of a regular expression; the others stay one expression.
+    Substring searches cost a fraction of a regular expression. Alternatives
+    that are plain text are searched as such; of the others, those whose
+    matches must hold some text run only where that text is found.
     """
-    plain, regex = [], []
+    tests, regex = [], []
     for part in _alternatives(pattern):
-        (regex if re.search(r"[\\.^$*+?()\[\]{}]", part) else plain).append(part)
-    tests = [lowered.contains(word.lower()) for word in plain]
-    if regex:
-        tests.append(lowered.rlike(tx.UNICODE_NO_CASE + "|".join(regex)))
-    found = tests[0]
-    for test in tests[1:]:
-        found = found | test
-    return found
+        needed, whole = _needed_text(part)
+        if whole:
+            tests.append(lowered.contains(needed.lower()))
+        elif len(needed) > 1:
+            expression = lowered.rlike(tx.UNICODE_NO_CASE + part)
+            regex.append(lowered.contains(needed.lower()) & expression)
+        else:
+            regex.append(lowered.rlike(tx.UNICODE_NO_CASE + part))
+    return reduce(lambda a, b: a | b, tests + regex)
 
 
 def line_type(message: Column) -> Column:
@@ -50,12 +68,18 @@ def line_type(message: Column) -> Column:
     return case.otherwise(F.lit(fv.LINE_TYPE_OTHER))
 
 
+def _has_verb(message: Column) -> Column:
+    """Whether any request verb occurs; cheaper than the search for a word."""
+    verbs = re.search(r"\((.*?)\)", fv.HTTP_METHOD).group(1).split("|")
+    return reduce(lambda a, b: a | b, [message.contains(verb) for verb in verbs])
+
+
 def http_method(message: Column) -> Column:
-    return tx.first_match(message, tx.UNICODE + fv.HTTP_METHOD)
+    return F.when(_has_verb(message), tx.first_match(message, tx.UNICODE + fv.HTTP_METHOD))
 
 
 def http_path(message: Column) -> Column:
-    return tx.first_match(message, tx.UNICODE + fv.HTTP_PATH, 1)
+    return F.when(_has_verb(message), tx.first_match(message, tx.UNICODE + fv.HTTP_PATH, 1))
 
 
 def http_status(level: Column | None, message: Column) -> Column:
@@ -70,10 +94,18 @@ def http_status(level: Column | None, message: Column) -> Column:
 
 def response_time_ms(message: Column) -> Column:
     """The first named duration in milliseconds; a bare number is taken as such."""
-    found = tx.first_match(message, tx.UNICODE_NO_CASE + fv.RESPONSE_TIME)
-    number = F.regexp_extract(found, r"([0-9]*\.?[0-9]+)\s*[A-Za-z]*$", 1).try_cast("double")
-    unit = F.lower(F.regexp_extract(found, r"([A-Za-z]*)$", 1))
-    return F.when(unit.isin("s", "sec", "seconds"), number * 1000.0).otherwise(number)
+    assigned = message.contains("=") | message.contains(":")
+    pattern = tx.UNICODE_NO_CASE + fv.RESPONSE_TIME
+    # The match is bound to a lambda, so the message is searched once.
+    found = F.array(F.when(assigned, F.regexp_extract(message, pattern, 0)))
+
+    def milliseconds(match: Column) -> Column:
+        number = F.regexp_extract(match, r"([0-9]*\.?[0-9]+)\s*[A-Za-z]*$", 1)
+        unit = F.lower(F.regexp_extract(match, r"([A-Za-z]*)$", 1))
+        factor = F.when(unit.isin("s", "sec", "seconds"), 1000.0).otherwise(1.0)
+        return F.when(match != "", number.try_cast("double") * factor)
+
+    return F.get(F.transform(found, milliseconds), F.lit(0))
 
 
 def user_id(message: Column) -> Column:
@@ -81,7 +113,7 @@ def user_id(message: Column) -> Column:
 
 
 def first_ipv4(message: Column) -> Column:
-    return tx.first_match(message, tx.UNICODE + fv.IPV4)
+    return F.when(message.contains("."), tx.first_match(message, tx.UNICODE + fv.IPV4))
 
 
 def _first_named(text: Column, table) -> Column:
@@ -101,12 +133,20 @@ def user_agent(agent: Column) -> Column:
 
 
 def redact_pii(text: Column) -> Column:
-    """E-mail addresses, then IPv4 addresses, UUIDs and tokens, by name."""
-    for pattern, name in (
-        (fv.EMAIL, "<email>"),
-        (fv.IPV4, "<ip>"),
-        (fv.UUID, "<uuid>"),
-        (fv.TOKEN, "<token>"),
-    ):
-        text = F.regexp_replace(text, tx.UNICODE + pattern, name)
-    return text
+    """E-mail addresses, then IPv4 addresses, UUIDs and tokens, by name.
+
+    A step is skipped where the text lacks what its matches always hold. The
+    names put in hold none of it, so the test is on the text as it came.
+    """
+    steps = (
+        (fv.EMAIL, "<email>", ["@"]),
+        (fv.IPV4, "<ip>", ["."]),
+        (fv.UUID, "<uuid>", ["-"]),
+        (fv.TOKEN, "<token>", ["eyJ", "AKIA", "AIza"]),
+    )
+    redacted = text
+    for pattern, name, needed in steps:
+        possible = reduce(lambda a, b: a | b, [text.contains(part) for part in needed])
+        replaced = F.regexp_replace(redacted, tx.UNICODE + pattern, name)
+        redacted = F.when(possible, replaced).otherwise(redacted)
+    return redacted

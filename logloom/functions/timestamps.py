@@ -30,11 +30,13 @@ def single_spaces(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", " ")
 
 
-def iso_seconds(text: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss``, padded or not; anything else is NULL."""
-    return F.when(
-        text.rlike(f"^{ISO_SECONDS}$"), single_spaces(text).try_cast("timestamp")
-    )
+def iso_seconds(text: Column, checked: bool = False) -> Column:
+    """``yyyy-MM-dd HH:mm:ss``, padded or not; anything else is NULL.
+
+    ``checked`` says that the text is known to have this shape.
+    """
+    time = F.coalesce(text.try_cast("timestamp"), single_spaces(text).try_cast("timestamp"))
+    return time if checked else F.when(text.rlike(f"^{ISO_SECONDS}$"), time)
 
 
 def by_layout(text: Column, layout: str) -> Column:
@@ -102,7 +104,7 @@ def any_layout(text: Column) -> Column:
     """
     return (
         F.when(text.rlike(r"^\d{4}-\d{1,2}(-|$)"), text.try_cast("timestamp"))
-        .when(text.rlike(r"^[+-]?\d{5,}(\.\d+)?([eE]\+?\d+)?$"), epoch(text))
+        .when(text.rlike(r"^[+-]?(\d{5,}(\.\d+)?|\d(\.\d+)?[eE]\+?\d+)$"), epoch(text))
         .when(text.rlike(r"^\d{1,2}/[A-Za-z]{3}/\d{4}:"), slashed(text))
         .when(text.rlike(r"^\d{4}/\d"), by_layout(single_spaces(text), "yyyy/M/d H:m:s"))
         .when(text.rlike(r"^[A-Za-z]{3}.*\d{4}$"), month_name_first(text))

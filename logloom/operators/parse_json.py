@@ -12,48 +12,76 @@ from ..functions import timestamps as ts
 from ..schema import record
 
 
-def _objects(text: Column) -> Column:
-    """The record as an array of zero or one non-empty JSON objects."""
+def _objects(text: Column, keys: tuple[str, ...]) -> Column:
+    """The record as an array of zero or one non-empty JSON objects.
+
+    Each named value comes as text, whatever its type. The record is read as
+    the one element of an array, so that text after the object is an error.
+    """
     shaped = text.rlike(r"^\s*\{") & ~text.rlike(r"^\s*\{\s*\}\s*$")
-    parsed = F.when(shaped, F.try_parse_json(text))
-    return F.filter(F.array(parsed), lambda v: v.isNotNull())
+    schema = ", ".join(f"`{key}`: STRING" for key in keys)
+    found = F.from_json(
+        F.concat(F.lit("["), text, F.lit("]")),
+        f"ARRAY<STRUCT<{schema}>>",
+        {"mode": "PERMISSIVE", "allowSingleQuotes": "false"},
+    )
+    return F.filter(
+        F.array(F.when(shaped, found)), lambda objects: F.size(objects) == 1
+    )
 
 
 class _Found:
-    """The values read from one JSON object, each by its key or path."""
+    """The values read from one JSON object, by key; a dot leads into objects."""
 
-    def __init__(self, row: Column, keys: tuple[str, ...]):
-        self._row, self._keys = row, keys
+    def __init__(self, text: Column, row: Column):
+        self._text, self._row = text, row
 
     def value(self, key: str) -> Column:
         """The text of a value; NULL if missing or null."""
-        return self._row[f"v{self._keys.index(key)}"]
+        outer, _, inner = key.partition(".")
+        value = self._row[outer]
+        return F.get_json_object(value, f"$.{inner}") if inner else value
+
+    def _typed(self, key: str) -> Column:
+        """The value with its type. This reads the record again: a last resort."""
+        return F.try_variant_get(F.try_parse_json(self._text), f"$['{key}']", "variant")
 
-    def kind(self, key: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(self._row["o"], _path(key), "variant"))
+    def _kind(self, key: str) -> Column:
+        return F.schema_of_variant(self._typed(key))
 
     def filled(self, key: str) -> Column:
         """The text of a value unless it is empty: '', 0, false, {} and [] are."""
         value = self.value(key)
+        if "." in key:
+            return tx.blank_to_null(value)
         # Only these texts can stand for an empty value; the type settles which do.
+        # Cases rather than conditions, since the type must not be asked for in vain.
         suspect = value.rlike(r"^(-?0(\.0+)?([eE].*)?|false|\{\}|\[\])$")
-        return F.when((value != "") & ~(suspect & (self.kind(key) != "STRING")), value)
+        is_text = F.coalesce(self._kind(key) == "STRING", F.lit(True))
+        return (
+            F.when(value.isNull() | (value == ""), F.lit(None))
+            .when(suspect, F.when(is_text, value))
+            .otherwise(value)
+        )
 
     def first(self, *keys: str, default: str | None = None) -> Column:
         return F.coalesce(*[self.filled(key) for key in keys], F.lit(default))
 
     def or_if_absent(self, key: str, default: str) -> Column:
         """The default only where the key itself is missing; a null value stays."""
-        missing = F.try_variant_get(self._row["o"], _path(key), "variant").isNull()
-        return F.when(missing, F.lit(default)).otherwise(self.value(key))
+        value = self.value(key)
+        named = self._text.contains(f'"{key}"')
+        return (
+            F.when(value.isNotNull(), value)
+            .when(~named, F.lit(default))
+            .when(self._typed(key).isNull(), F.lit(default))
+        )
 
     def payload(self, key: str) -> Column:
         """An object as compact JSON text; other values are no payload."""
-        return F.when(self.kind(key).startswith("OBJECT"), self.value(key))
-
-
-def _path(key: str) -> str:
-    return "$" + "".join(f"['{part}']" for part in key.split("."))
+        value = self.value(key)
+        is_object = self._kind(key).startswith("OBJECT")
+        return F.when(value.startswith("{"), F.when(is_object, value))
 
 
 def _records(
@@ -64,25 +92,18 @@ def _records(
     Each step is a transform of its own, since a value bound by a transform is
     computed once, however often the next step uses it.
     """
+    names: list[str] = []
 
-    def read(obj: Column) -> Column:
-        values = [
-            F.try_variant_get(obj, _path(key), "string").alias(f"v{i}")
-            for i, key in enumerate(keys)
-        ]
-        return F.struct(obj.alias("o"), *values)
-
-    def choose(row: Column) -> Column:
-        return F.struct(*[c.alias(name) for name, c in build(_Found(row, keys)).items()])
+    def choose(objects: Column) -> Column:
+        chosen = build(_Found(text, objects[0]))
+        names[:] = chosen
+        return F.struct(*[c.alias(name) for name, c in chosen.items()])
 
     def finish(row: Column) -> Column:
-        return record(timestamp=ts.any_layout(row["time"]), timestamp_raw=row["time"], **{
-            name: row[name] for name in names if name != "time"
-        })
+        rest = {name: row[name] for name in names if name != "time"}
+        return record(timestamp=ts.any_layout(row["time"]), timestamp_raw=row["time"], **rest)
 
-    # Names only; the columns of this call are not used.
-    names = list(build(_Found(F.col("unused"), keys)))
-    return F.transform(F.transform(F.transform(_objects(text), read), choose), finish)
+    return F.transform(F.transform(_objects(text, keys), choose), finish)
 
 
 def json_records(text: Column, options) -> Column:
@@ -127,7 +148,7 @@ def kubernetes_records(text: Column, options) -> Column:
     place = ("kubernetes.namespace_name", "kubernetes.pod_name", "kubernetes.container_name")
     return _records(
         text,
-        (*place, "time", "timestamp", "level", "severity", "log", "message", "userAgent", "httpUserAgent"),
+        ("kubernetes", "time", "timestamp", "level", "severity", "log", "message", "userAgent", "httpUserAgent"),
         lambda o: {
             "time": o.first("time", "timestamp"),
             "level": o.first("level", "severity", default="INFO"),
@@ -161,7 +182,7 @@ def gcp_records(text: Column, options) -> Column:
         text,
         (
             "timestamp", "receiveTimestamp", "severity", "logName", "textPayload", "jsonPayload",
-            "protoPayload", "httpRequest.userAgent",
+            "protoPayload", "httpRequest",
         ),
         lambda o: {
             "time": o.first("timestamp", "receiveTimestamp"),

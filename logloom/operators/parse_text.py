@@ -35,7 +35,7 @@ def custom_records(text: Column, options) -> Column:
     found = tx.captures(text, _BRACKETED_ANY_TIME if layout else _BRACKETED, 4)
 
     def build(p: Column) -> Column:
-        time = ts.by_strftime(p[1], layout) if layout else ts.iso_seconds(p[1])
+        time = ts.by_strftime(p[1], layout) if layout else ts.iso_seconds(p[1], checked=True)
         return record(
             timestamp=time,
             timestamp_raw=p[1],
