@@ -57,17 +57,23 @@ def _positioned(logs: DataFrame) -> DataFrame:
     """Rows and instants with errors, each with its position in time order.
 
     ``pos`` of a row is the number of rows before it; of an instant, the
-    number of rows strictly earlier. Numbers are given per second and shifted
-    by the rows of all earlier seconds, which are totalled by day first.
+    number of rows strictly earlier. Rows are numbered within ticks of 2**20
+    microseconds, about a second, and shifted by the rows of all earlier ticks,
+    which are totalled by spans of 2**16 ticks first.
     """
-    rows = logs.select(
-        F.unix_micros(as_timestamp(logs)).alias("t"),
-        column_or_null(logs, "source").alias("source"),
+    time = as_timestamp(logs)
+    rows = logs.filter(time.isNotNull()).select(
+        # Never NULL, and known to be: filters for NULL that joins would add to
+        # some uses of `kept`, but not to others, keep its shuffle from reuse.
+        F.coalesce(F.unix_micros(time), F.lit(0)).alias("t"),
+        # Rows of one instant are ordered by source and number; a hash of the
+        # source orders as well as its path and is shorter.
+        F.xxhash64(column_or_null(logs, "source")).alias("source"),
         column_or_null(logs, "record_id", "bigint").alias("record_id"),
         event_token(logs).alias("token"),
         is_error(column_or_null(logs, "level")).alias("error"),
-    ).filter(F.col("t").isNotNull())
-    second = F.floor(F.col("t") / 1_000_000)
+    )
+    tick = F.shiftright(F.col("t"), 20)
     kept = _latest_per_instant(rows.drop("error"))
     errors = (
         rows.filter("error")
@@ -78,30 +84,30 @@ def _positioned(logs: DataFrame) -> DataFrame:
     both = (
         kept.select("t", F.lit(1).alias("is_row"), "source", "record_id", "token")
         .unionByName(errors, allowMissingColumns=True)
-        .withColumn("second", second)
+        .withColumn("tick", tick)
     )
     # Errors of an instant stand before its rows, which they do not see.
-    in_second = Window.partitionBy("second").orderBy("t", "is_row", "source", "record_id")
-    numbered = both.withColumn("in_second", F.sum("is_row").over(in_second) - F.col("is_row"))
+    in_tick = Window.partitionBy("tick").orderBy("t", "is_row", "source", "record_id")
+    numbered = both.withColumn("in_tick", F.sum("is_row").over(in_tick) - F.col("is_row"))
 
     # No token is empty; it is read so that the shuffle of `kept` is reused.
-    seconds = (
-        kept.groupBy(second.alias("second"))
+    ticks = (
+        kept.groupBy(tick.alias("tick"))
         .agg(F.count_if(F.col("token") != "").alias("size"))
-        .withColumn("day", F.floor(F.col("second") / 86_400))
+        .withColumn("span", F.shiftright(F.col("tick"), 16))
     )
-    by_day = Window.orderBy("day")
-    days = (
-        seconds.groupBy("day")
-        .agg(F.sum("size").alias("day_size"))
-        .select("day", (F.sum("day_size").over(by_day) - F.col("day_size")).alias("earlier"))
+    by_span = Window.orderBy("span")
+    spans = (
+        ticks.groupBy("span")
+        .agg(F.sum("size").alias("span_size"))
+        .select("span", (F.sum("span_size").over(by_span) - F.col("span_size")).alias("earlier"))
     )
-    by_second = Window.partitionBy("day").orderBy("second")
-    starts = seconds.join(days, "day").select(
-        "second", (F.col("earlier") + F.sum("size").over(by_second) - F.col("size")).alias("start")
+    in_span = Window.partitionBy("span").orderBy("tick")
+    starts = ticks.join(spans, "span").select(
+        "tick", (F.col("earlier") + F.sum("size").over(in_span) - F.col("size")).alias("start")
     )
-    return numbered.join(starts, "second").select(
-        "t", "is_row", "token", "errors", (F.col("start") + F.col("in_second")).alias("pos")
+    return numbered.join(starts, "tick").select(
+        "t", "is_row", "token", "errors", (F.col("start") + F.col("in_tick")).alias("pos")
     )
 
 

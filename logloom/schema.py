@@ -67,13 +67,16 @@ LINE_SCHEMA = T.StructType(
 
 
 def record(**fields: Column) -> Column:
-    """A struct of all parsed fields; those not given are NULL."""
-    return F.struct(
-        *[
-            fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in PARSED_FIELDS.fields
-        ]
-    )
+    """A struct of all parsed fields; those not given are NULL.
+
+    Those given have the field's type already.
+    """
+    unknown = set(fields) - set(PARSED_FIELDS.names)
+    if unknown:
+        raise ValueError(f"not fields of a record: {sorted(unknown)}")
+    nothing = F.lit(None).cast("string")
+    fields.setdefault("timestamp", F.lit(None).cast("timestamp"))
+    return F.struct(*[fields.get(name, nothing).alias(name) for name in PARSED_FIELDS.names])
 
 
 def empty_logs(spark: SparkSession) -> DataFrame:
