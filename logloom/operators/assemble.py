@@ -17,60 +17,72 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import text as tx
 from .detect import is_structured
-from .ordering import chunk
+from .ordering import SOURCE_KEY, chunk, with_source_key
 
 #: A record of more chunks than this is returned in several parts.
 PART_CHUNKS = 16
+CHUNK_KEY = (*SOURCE_KEY, "chunk")
 
 
 def starts_record(line: Column) -> Column:
     return line.rlike(tx.UNICODE + fv.RECORD_START)
 
 
-def _pieces(lines: DataFrame, is_start: Column, extra: list[str]) -> DataFrame:
-    """Runs of lines between starts within one chunk; run 0 has no start."""
-    in_chunk = Window.partitionBy("source", "chunk").orderBy("line_id")
-    numbered = (
-        lines.withColumn("chunk", chunk("line_id"))
-        .withColumn("run", F.sum(is_start.cast("int")).over(in_chunk))
-        .withColumn("last_run", F.max("run").over(Window.partitionBy("source", "chunk")))
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("line_id", "value")))
+def _pieces(lines: DataFrame, is_start: Column) -> DataFrame:
+    """Runs of lines between starts within one chunk; run 0 has no start.
+
+    Only a line's number and text travel. What is the same for all lines of a
+    source, its path first of all, comes back from the table of chunks.
+    """
+    in_chunk = Window.partitionBy(*CHUNK_KEY).orderBy("line_id")
+    whole = in_chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbered = lines.select(
+        *CHUNK_KEY, "line_id", "value", is_start.cast("int").alias("start")
+    ).withColumns({"run": F.sum("start").over(in_chunk), "last_run": F.sum("start").over(whole)})
     # last_run is a key only so that filters on it move below the aggregation.
-    return numbered.groupBy("source", "chunk", "run", "last_run").agg(
-        F.min("line_id").alias("first_line"),
-        F.array_join(F.transform(ordered, lambda x: x["value"]), "\n").alias("value"),
-        *[F.first(c).alias(c) for c in extra],
+    return numbered.groupBy(*CHUNK_KEY, "run", "last_run").agg(
+        F.min("line_id").alias("first_line"), _in_order("line_id").alias("value")
     )
 
 
-def _owners(lines: DataFrame, is_start: Column) -> DataFrame:
-    """For each chunk, the first line of the record running into it.
+def _in_order(number: str) -> Column:
+    ordered = F.sort_array(F.collect_list(F.struct(number, "value")))
+    return F.array_join(F.transform(ordered, lambda x: x["value"]), "\n")
 
-    ``owner`` is the last start in an earlier chunk, or the first line of the
-    source where there is none. ``distance`` counts the chunks since then.
+
+def _chunks(lines: DataFrame, is_start: Column, same: list[str]) -> DataFrame:
+    """One row per chunk: its source, and the record running into it.
+
+    ``owner`` is the first line of that record: the last start in an earlier
+    chunk, or the first line of the source where there is none. ``distance``
+    counts the chunks since then. Texts are keys of the first aggregation, as
+    only numbers can be aggregated by hash before the shuffle.
     """
     chunks = (
-        lines.select("source", "line_id", chunk("line_id").alias("chunk"), is_start.alias("s"))
-        .groupBy("source", "chunk")
+        lines.select(*CHUNK_KEY, *same, "line_id", is_start.alias("start"))
+        .groupBy(*CHUNK_KEY, *same)
         .agg(
-            F.max(F.when(F.col("s"), F.col("line_id"))).alias("last_start"),
+            F.max(F.when(F.col("start"), F.col("line_id"))).alias("last_start"),
             F.min("line_id").alias("first_line"),
         )
+        .groupBy(*CHUNK_KEY)
+        .agg(
+            F.max("last_start").alias("last_start"),
+            F.min("first_line").alias("source_start"),
+            *[F.first(c).alias(c) for c in same],
+        )
     )
-    in_source = Window.partitionBy("source").orderBy("chunk")
+    in_source = Window.partitionBy(*SOURCE_KEY).orderBy("chunk")
     before = in_source.rowsBetween(Window.unboundedPreceding, -1)
-    place = F.row_number().over(in_source)
     began = F.when(F.col("last_start").isNotNull(), F.col("place"))
     return (
-        chunks.withColumn("place", place)
+        chunks.withColumn("place", F.row_number().over(in_source))
         .withColumn("began", F.coalesce(F.max(began).over(before), F.lit(1)))
         .select(
-            F.col("source").alias("o_source"),
-            F.col("chunk").alias("o_chunk"),
+            *CHUNK_KEY,
+            *same,
             F.coalesce(
-                F.max("last_start").over(before),
-                F.min("first_line").over(in_source),
+                F.max("last_start").over(before), F.min("source_start").over(in_source)
             ).alias("owner"),
             (F.col("place") - F.col("began")).alias("distance"),
         )
@@ -88,21 +100,25 @@ def assemble_records(
     do not vary within a source, are kept if present.
     """
     is_start = starts_record(F.col("value")) if start is None else start
-    extra = [c for c in ("format", "modified") if c in lines.columns]
-    pieces = _pieces(lines, is_start, extra)
+    same = ["source"] + [c for c in ("format", "modified") if c in lines.columns]
+    lines = with_source_key(lines).withColumn("chunk", chunk("line_id"))
+    pieces = _pieces(lines, is_start)
+    chunks = _chunks(lines, is_start, same)
     at_border = (F.col("run") == 0) | (F.col("run") == F.col("last_run"))
-    inner = pieces.filter(~at_border).select(
-        "source", F.col("first_line").alias("record_id"), F.lit(0).alias("part"), "value", *extra
-    )
-    border = pieces.filter(at_border).join(
-        _owners(lines, is_start),
-        F.col("source").eqNullSafe(F.col("o_source")) & (F.col("chunk") == F.col("o_chunk")),
+
+    # The pieces lie by chunk already, so this join moves only the chunks.
+    inner = (
+        pieces.filter(~at_border)
+        .join(chunks.hint("shuffle_hash"), [*CHUNK_KEY])
+        .select(*same, F.col("first_line").alias("record_id"), F.lit(0).alias("part"), "value")
     )
     continues = F.col("run") == 0
-    ordered = F.sort_array(F.collect_list(F.struct("first_line", "value")))
-    joined = (
-        border.select(
-            "source",
+    border = (
+        pieces.filter(at_border)
+        .join(chunks.hint("shuffle_hash"), [*CHUNK_KEY])
+        .select(
+            *SOURCE_KEY,
+            *same,
             F.when(continues, F.col("owner")).otherwise(F.col("first_line")).alias("record_id"),
             F.when(continues, F.floor(F.col("distance") / part_chunks))
             .otherwise(0)
@@ -110,15 +126,11 @@ def assemble_records(
             .alias("part"),
             "first_line",
             "value",
-            *extra,
-        )
-        .groupBy("source", "record_id", "part")
-        .agg(
-            F.array_join(F.transform(ordered, lambda x: x["value"]), "\n").alias("value"),
-            *[F.first(c).alias(c) for c in extra],
         )
+        .groupBy(*SOURCE_KEY, "record_id", "part")
+        .agg(*[F.first(c).alias(c) for c in same], _in_order("first_line").alias("value"))
     )
-    return inner.unionByName(joined.select(inner.columns))
+    return inner.unionByName(border.select(inner.columns))
 
 
 def records_of(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
+from .ordering import SOURCE_KEY, with_source_key
 
 #: Cloud and container exports are JSON too, so they are asked for first.
 _SPECIFIC_FIRST = (
@@ -59,14 +60,15 @@ def detect_formats(
     shuffle, in two steps: per source and input partition group, then per
     source, so that a huge source does not meet in one task.
     """
-    ranked = lines.select(
+    ranked = with_source_key(lines).select(
+        *SOURCE_KEY,
         "source",
         "line_id",
         line_priority(F.col("value"), order).alias("priority"),
         (F.spark_partition_id() % _SALTS).alias("part"),
     )
     first = ranked
-    for keys in (["source", "part"], ["source"]):
+    for keys in ([*SOURCE_KEY, "part"], SOURCE_KEY):
         window = Window.partitionBy(*keys).orderBy("line_id")
         first = first.withColumn("n", F.row_number().over(window)).filter(
             F.col("n") <= sample_lines

@@ -10,37 +10,43 @@ from ..functions import text as tx
 from ..functions import timestamps as ts
 from ..schema import record
 
-#: The part of an event that is read; attributes carry a leading underscore.
-EVENT_SCHEMA = (
-    "System STRUCT<Provider: STRUCT<_Name: STRING>, "
-    "TimeCreated: STRUCT<_SystemTime: STRING>, Level: STRING>, "
-    "EventData STRUCT<Data: ARRAY<STRUCT<_VALUE: STRING, _Name: STRING>>>"
-)
+# Attributes may stand in either kind of quotes.
+_TIME = r"""<TimeCreated[^>]*SystemTime=["']([^"']+)["']"""
+_LEVEL = r"<Level>(\d+)</Level>"
+_PROVIDER = r"""<Provider[^>]*Name=["']([^"']+)["']"""
+_DATA = r"(?s)<Data>(.*?)</Data>"
+_NAMED_DATA = r"(?s)<Data\s[^>]*>(.*?)</Data>"
 
 
-def event_record(event: Column) -> Column:
-    """One event struct as a parsed record.
+def _event(event: Column) -> Column:
+    """The facts of one event; the message is its first data element.
 
-    The message is the first data element without a name, as exports of plain
-    text write it, or else the first of all.
+    Data without a name, as plain text exports write it, comes before named.
+    Text stays as it is written, entities included. Searching for the five
+    facts takes a fraction of the time of building an XML tree per event.
     """
-    data = event["EventData"]["Data"]
-    unnamed = F.filter(data, lambda d: d["_Name"].isNull())
-    text = F.coalesce(F.get(unnamed, F.lit(0))["_VALUE"], F.get(data, F.lit(0))["_VALUE"])
-    raw = event["System"]["TimeCreated"]["_SystemTime"]
-    level = event["System"]["Level"]
-    return record(
-        timestamp=ts.any_layout(raw),
-        timestamp_raw=raw,
-        level=F.when(level.rlike(r"^\d+$"), level).otherwise(F.lit("INFO")),
-        module=F.coalesce(event["System"]["Provider"]["_Name"], F.lit("WindowsEvent")),
-        message=F.coalesce(F.replace(tx.strip(text), F.lit("\n"), F.lit(" ")), F.lit("")),
+    data = F.when(event.rlike(_DATA), F.regexp_extract(event, _DATA, 1)).otherwise(
+        F.regexp_extract(event, _NAMED_DATA, 1)
+    )
+    return F.struct(
+        tx.first_match(event, _TIME, 1).alias("time"),
+        F.coalesce(tx.first_match(event, _LEVEL, 1), F.lit("INFO")).alias("level"),
+        F.coalesce(tx.first_match(event, _PROVIDER, 1), F.lit("WindowsEvent")).alias("module"),
+        F.replace(tx.strip(data), F.lit("\n"), F.lit(" ")).alias("message"),
     )
 
 
 def windows_event_records(text: Column, options) -> Column:
     """Every complete ``<Event>`` element within the record's text."""
     events = F.regexp_extract_all(text, F.lit(fv.XML_EVENT), F.lit(0))
-    return F.transform(
-        events, lambda e: event_record(F.from_xml(e, EVENT_SCHEMA, {"mode": "PERMISSIVE"}))
-    )
+
+    def build(found: Column) -> Column:
+        return record(
+            timestamp=ts.any_layout(found["time"]),
+            timestamp_raw=found["time"],
+            level=found["level"],
+            module=found["module"],
+            message=found["message"],
+        )
+
+    return F.transform(F.transform(events, _event), build)

@@ -77,6 +77,10 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn(
         "ts", F.col("ts").cast("timestamp")
     )
+    # Text takes many times the room of an event. A table too small to be read
+    # in as many parts as there are cores is spread out before it grows.
+    if events.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        events = events.repartition("event_id")
     return events.selectExpr(*[f"{sql} AS {name}" for name, sql in BASE_COLUMNS.items()])
 
 
