@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Numbers are unique within a source, so a chunk holds at most 2**16 rows.
 CHUNK_BITS = 16
+#: Pages are looked for in larger chunks, of which there are fewer to total.
+PAGE_CHUNK_BITS = 20
 
 
 def chunk(column: str):
@@ -65,24 +67,13 @@ def page_rows(
 ) -> DataFrame:
     """Page ``page`` (from 1) of the log in the order of its records."""
     start, end = (page - 1) * size, page * size
-    chunked = logs.withColumn("_chunk", chunk("record_id"))
-    counts = chunked.groupBy("source", "_chunk").agg(F.count(F.lit(1)).alias("_size"))
-    by_source = Window.orderBy("source")
-    sources = (
-        counts.groupBy("source")
-        .agg(F.sum("_size").alias("_all"))
-        .select(
-            F.col("source").alias("_source"),
-            (F.sum("_all").over(by_source) - F.col("_all")).alias("_earlier"),
-        )
-    )
-    in_source = Window.partitionBy("source").orderBy("_chunk")
+    chunked = logs.withColumn("_chunk", F.shiftright("record_id", PAGE_CHUNK_BITS))
+    # One row per source and million of numbers, so one task totals them all.
+    in_order = Window.orderBy("source", "_chunk")
     wanted = (
-        counts.join(sources, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn(
-            "_before",
-            F.col("_earlier") + F.sum("_size").over(in_source) - F.col("_size"),
-        )
+        chunked.groupBy("source", "_chunk")
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .withColumn("_before", F.sum("_size").over(in_order) - F.col("_size"))
         .filter((F.col("_before") < end) & (F.col("_before") + F.col("_size") > start))
         .select(
             F.col("source").alias("_source"), F.col("_chunk").alias("_wanted"), "_before"

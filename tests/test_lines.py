@@ -162,7 +162,7 @@ def test_max_lines(spark, n):
 
 def test_pages(spark):
     rng = random.Random(1)
-    keys = sorted((s, i) for s in "abc" for i in rng.sample(range(CHUNK * 5), 70))
+    keys = sorted((s, i) for s in "abc" for i in rng.sample(range(CHUNK * 80), 70))
     rows = [(s, i, f"{s}{i}") for s, i in keys]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "source string, record_id bigint, message string").repartition(6)
