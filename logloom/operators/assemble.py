@@ -3,7 +3,7 @@
 A record starts at a line that looks like a start; all lines up to the next
 start belong to it, and lines before the first start form a record too.
 
-Lines are grouped by chunks of at most 2**16 line numbers, so no task holds a
+Lines are grouped by chunks of at most 2**14 line numbers, so no task holds a
 whole file. Within a chunk one window and one aggregation on the same
 partitioning build the records. Only the pieces at chunk borders, at most two
 per chunk, are shuffled again to be joined to what they continue.
@@ -20,7 +20,7 @@ from .detect import is_structured
 from .ordering import SOURCE_KEY, chunk, with_source_key
 
 #: A record of more chunks than this is returned in several parts.
-PART_CHUNKS = 16
+PART_CHUNKS = 64
 CHUNK_KEY = (*SOURCE_KEY, "chunk")
 
 

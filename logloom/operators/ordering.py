@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers are unique within a source, so a chunk holds at most 2**16 rows.
-CHUNK_BITS = 16
+#: Numbers are unique within a source, so a chunk holds at most 2**14 rows.
+CHUNK_BITS = 14
 #: Pages are looked for in larger chunks, of which there are fewer to total.
 PAGE_CHUNK_BITS = 20
 
