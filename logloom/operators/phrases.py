@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from ..functions.predicates import is_error
 
 def stop_words() -> list[str]:
     """Spark's English stop words."""
-    return sorted(StopWordsRemover.loadDefaultStopWords("english"))
+    return sorted(fv.ENGLISH_STOP_WORDS)
 
 
 def words(message: Column, stopped: Iterable[str]) -> Column:
@@ -62,7 +61,7 @@ def top_phrases(
         .groupBy("ngram")
         .agg(F.sum("times").alias("count"))
         .orderBy(F.desc("count"), F.asc("ngram"))
-        .limit(min(top, fv.PHRASE_VOCABULARY))
+        .limit(top)
     )
 
 

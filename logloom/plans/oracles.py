@@ -6,11 +6,6 @@ text was made of.
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
-import pyspark
-
 from ..functions import fixed_values as fv
 from .event_logs import BASE_CTE, LINES_PER_EVENT, MIXED_FORMATS, USER_AGENTS
 
@@ -146,18 +141,10 @@ SELECT array_to_string(s, ' → ') AS sequence, count
 FROM counted ORDER BY count DESC, s LIMIT {top}"""
 
 
-def _stop_words() -> list[str]:
-    """Spark's English stop words, read from its library without a session."""
-    jar = next(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as files:
-        text = files.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return sorted(set(text.split("\n")) - {""})
-
-
 def _phrases(source: str, word: str, top: int) -> str:
     stopped = ", ".join(
         "'" + w.replace("'", "''") + "'"
-        for w in _stop_words()
+        for w in fv.ENGLISH_STOP_WORDS
     )
     return f"""
 WITH {source},
