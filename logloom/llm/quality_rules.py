@@ -162,9 +162,9 @@ def certify(
     with the most labels (ties: the smaller name) get cutoffs of their own, the
     others and missing ones are one stratum together. To the driver come only
     counts: strata x rules x cutoffs x 2 at most. Of the certified cutoffs of a
-    ladder the one that rejects most bad documents is taken (ties: the most
-    lenient), if it rejects more of the bad than of the good; if none is, the
-    rule stays off there.
+    ladder the one of most gain is taken (ties: the most lenient): bad documents
+    rejected less good ones, of which each weighs as many as there are good for
+    a bad one. Where none has a gain the rule stays off.
     """
     quality = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     held = measured.join(quality, "doc_id").filter(~base_failed())
@@ -192,17 +192,19 @@ def certify(
     tests = len(RULES) * (len(strata) + 1)
     for name in (*strata, None):
         for i, rule in enumerate(RULES):
-            # A row of level n exceeds the first n cutoffs.
+            # A row of level n exceeds the n strictest cutoffs.
             good, bad = (
                 [levels.get((name, kind, i, n), 0) for n in range(len(rule.cutoffs) + 1)] for kind in (True, False)
             )
             best = 0
-            for n, cutoff in enumerate(rule.cutoffs, 1):
-                lost, caught = sum(good[n:]), sum(bad[n:])
+            for k, cutoff in enumerate(rule.cutoffs):
+                least = len(rule.cutoffs) - k
+                lost, caught = sum(good[least:]), sum(bad[least:])
                 if not holds(lost, sum(good), alpha / len(RULES), delta / tests):
                     break
-                if caught > best and caught * sum(good) > lost * sum(bad):
-                    best = caught
+                gain = caught * sum(bad) - lost * sum(good)
+                if gain > best:
+                    best = gain
                     chosen[name, rule.name] = cutoff
     return Cutoffs(strata, chosen)
 
