@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, token_counts
+from ..plans.workspace import work_folder
+from . import arc_warc, line_dedup, mixing, packing, quality_rules, token_counts
 from .common import read_table
 
 
@@ -29,7 +30,33 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_units(read_table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as ARC archives, converted to WARC archives, which are read back."""
+    arc, warc = work_folder(spark, "arc"), work_folder(spark, "warc")
+    arc_warc.write_arc(read_table(spark, sf_dir, "pages"), arc)
+    arc_warc.arc_to_warc(spark, arc, warc)
+    return arc_warc.read_pages(spark, warc)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_token_counts)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_best_fit_packing,
+        op3_token_counts,
+        op8_substring_dedup,
+        op9_warc,
+        op10_mixing,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_substring_dedup": line_dedup.sql(), "op9_warc": arc_warc.SQL}
