@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.workspace import work_folder
-from . import arc_warc, line_dedup, mixing, packing, quality_rules, token_counts
+from . import arc_warc, line_dedup, mixing, packing, quality_rules, simhash, token_counts, topk
 from .common import read_table
 
 
@@ -30,6 +30,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_units(read_table(spark, sf_dir, "documents"))
 
@@ -54,9 +62,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_rules,
         op2_best_fit_packing,
         op3_token_counts,
+        op4_simhash,
+        op5_topk,
         op8_substring_dedup,
         op9_warc,
         op10_mixing,
     )
 }
-ORACLES: dict[str, str] = {"op8_substring_dedup": line_dedup.sql(), "op9_warc": arc_warc.SQL}
+ORACLES: dict[str, str] = {
+    "op5_topk": topk.SQL,
+    "op8_substring_dedup": line_dedup.sql(),
+    "op9_warc": arc_warc.SQL,
+}
