@@ -85,19 +85,19 @@ def _searched(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFr
     out: list[pd.DataFrame] = []
     if vectors.empty or queries.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-    for size, asked in queries.groupby(queries["vector"].map(len)):
+    for size, asked in queries.groupby(queries["query"].map(len)):
         held = vectors[vectors["vector"].map(len) == size]
         if held.empty:
             continue
         rows = np.stack(held["vector"].to_list()).astype(np.int64)
-        queried = np.stack(asked["vector"].to_list()).astype(np.int64)
+        queried = np.stack(asked["query"].to_list()).astype(np.int64)
         most = float(np.abs(rows).max(initial=0)) * float(np.abs(queried).max(initial=0)) * max(1, size)
         ids = held["vec_id"].to_numpy()
         tree = BallTree(rows.astype(np.float64))
         # Beyond what doubles hold exactly, products are of Python's integers.
         kind = np.float64 if most < _EXACT else object
         rows, queried = rows.astype(kind), queried.astype(kind)
-        for own, query, least in zip(asked["vec_id"], queried, asked["least"]):
+        for own, query, least in zip(asked["query_id"], queried, asked["least"]):
             if kind is object:
                 scores = rows @ query
                 keep = ids != own
@@ -142,25 +142,26 @@ def top_k(
     shards = max(least_shards, -(-count // shard_rows))
     sharded = table.withColumn("shard", F.monotonically_increasing_id() % shards)
     queries = table.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    queries = queries.withColumn("first", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
     schema = "query_id long, vec_id long, score long"
 
     def one(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         return _searched(vectors, queries, k)
 
-    start = queries.withColumn("least", F.lit(float("-inf"))).withColumnRenamed("first", "shard")
+    some = F.pmod(F.xxhash64("query_id"), F.lit(shards)).alias("shard")
+    start = queries.select("query_id", "query", F.lit(float("-inf")).alias("least"), some)
     seen = sharded.groupBy("shard").cogroup(start.groupBy("shard")).applyInPandas(one, schema)
-    bounds = seen.groupBy(F.col("query_id").alias("vec_id")).agg(
+    bounds = seen.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("least")
     )
     asked = saved(
-        queries.join(bounds, "vec_id", "left").select(
-            "vec_id", "vector", F.coalesce("least", F.lit(float("-inf"))).alias("least")
+        queries.join(bounds, "query_id", "left").select(
+            "query_id", "query", F.coalesce("least", F.lit(float("-inf"))).alias("least")
         ),
         "queries",
     )
     blocks = max(1, -(-asked.count() // block_rows))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     left = sharded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(one, schema)
