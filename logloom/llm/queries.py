@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.workspace import work_folder
-from . import arc_warc, line_dedup, mixing, packing, pii, quality_rules, simhash, token_counts, topk
+from . import arc_warc, line_dedup, mixing, packing, pii, quality_rules, simhash, substring_suffix, token_counts, topk
 from .common import read_table
 
 
@@ -38,6 +38,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read_table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_counts,
         op4_simhash,
         op5_topk,
+        op6_suffix_dedup,
         op7_pii,
         op8_substring_dedup,
         op9_warc,
