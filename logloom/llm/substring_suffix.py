@@ -28,7 +28,7 @@ _RUN = LENGTH - GRAM + 1
 _PLACE = 24
 _BATCH = 1 << 20
 _MIX = 0x9E3779B97F4A7C15
-#: Runs of an anchor that more rows than this share are classed by joins.
+#: Runs of an anchor that more than these share are classed by joins.
 HOT = 4096
 
 
@@ -69,8 +69,9 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
 
 
 def anchors(read: DataFrame) -> DataFrame:
-    """The runs of each text: ``doc_id``, ``copy``, ``anchor``, ``first``, ``windows``."""
-    schema = "doc_id long, copy long, anchor long, first long, windows int"
+    """The runs of each text, an anchor's runs in one row: ``doc_id``, ``copy``,
+    ``anchor`` and ``places`` (first, windows)."""
+    schema = "doc_id long, copy long, anchor long, places array<struct<first:long,windows:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -78,14 +79,21 @@ def anchors(read: DataFrame) -> DataFrame:
             sizes = np.array([len(t) for t in texts], np.int64)
             ends = np.cumsum(sizes)
             owner, anchor, first, windows = runs(np.frombuffer(b"".join(texts), np.uint8), ends - sizes, ends)
+            order = np.lexsort((first, anchor, owner))
+            owner, anchor, first, windows = owner[order], anchor[order], first[order], windows[order]
+            begin = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(anchor, prepend=0) != 0))
+            begin = np.union1d(begin, [0] if len(owner) else []).astype(np.int32)
+            places = pa.StructArray.from_arrays(
+                [pa.array(first + np.array(skips, np.int64)[owner], pa.int64()), pa.array(windows, pa.int32())],
+                names=["first", "windows"],
+            )
             columns = [
-                pa.array(keys, pa.int64()).take(pa.array(owner)),
-                pa.array(copies, pa.int64()).take(pa.array(owner)),
-                pa.array(anchor, pa.int64()),
-                pa.array(first + np.array(skips, np.int64)[owner], pa.int64()),
-                pa.array(windows, pa.int32()),
+                pa.array(keys, pa.int64()).take(pa.array(owner[begin])),
+                pa.array(copies, pa.int64()).take(pa.array(owner[begin])),
+                pa.array(anchor[begin], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([*begin, len(owner)], pa.int32()), places),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "anchor", "first", "windows"])
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "anchor", "places"])
 
         for batch in batches:
             rows, held = [], 0
@@ -154,11 +162,11 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _by_refinement(shared: DataFrame) -> DataFrame:
-    """Covered spans of the runs (doc_id, copy, anchor, first, bytes), whose
+    """Covered spans of the runs (doc_id, copy, anchor, firsts, bytes), whose
     rows are sorted by anchor and read in batches of whole anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # rows: doc_id, copy, anchor, first, bytes
+        held: list[tuple] = []  # rows: doc_id, copy, anchor, firsts, bytes
         size = 0
 
         def close(rows: list[tuple]) -> pa.RecordBatch:
@@ -171,13 +179,13 @@ def _by_refinement(shared: DataFrame) -> DataFrame:
             spans = []
             for group in groups.values():
                 for text, same in group.items():
-                    if len(same) > 1:
+                    if sum(len(r[3]) for r in same) > 1:
                         found = [(0, len(text))]
                     elif len(group) > 1:
                         found = list(_spans(classed[text]))
                     else:
                         found = []
-                    spans += ((r[0], r[1], r[3] + a, r[3] + b) for r in same for a, b in found)
+                    spans += ((r[0], r[1], at + a, at + b) for r in same for at in r[3] for a, b in found)
             return _span_batch(spans)
 
         for batch in batches:
@@ -190,7 +198,7 @@ def _by_refinement(shared: DataFrame) -> DataFrame:
         if held:
             yield close(held)
 
-    rows = shared.select("doc_id", "copy", "anchor", "first", "bytes")
+    rows = shared.select("doc_id", "copy", "anchor", "firsts", "bytes")
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _SPANS)
 
 
@@ -198,13 +206,15 @@ def _by_joins(shared: DataFrame) -> DataFrame:
     """The same for anchors that very many runs share: equal runs are counted,
     and of the others every window, on the map side first; members are found by
     joins against one row per class, whose large ones the adaptive planner splits."""
-    runs_ = shared.select("doc_id", "copy", "first", "bytes", F.unhex(F.md5("bytes")).alias("run"))
-    place = F.struct("doc_id", "copy", "first")
-    classes = runs_.groupBy("run").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("one"))
+    runs_ = shared.select("doc_id", "copy", "firsts", "bytes", F.unhex(F.md5("bytes")).alias("run"))
+    place = F.struct("doc_id", "copy", F.col("firsts")[0])
+    # Written first, so that both sides of the join are dealt anew and can be split.
+    classes = saved(runs_.groupBy("run").agg(F.sum(F.size("firsts")).alias("times"), F.min(place).alias("one")), "classes")
     joined = saved(runs_.join(classes, "run"), "runs")
     same = joined.filter("times > 1").select(
-        "doc_id", "copy", F.col("first").alias("start"), (F.col("first") + F.octet_length("bytes")).alias("end")
+        "doc_id", "copy", F.explode("firsts").alias("start"), F.octet_length("bytes").alias("size")
     )
+    same = same.select("doc_id", "copy", "start", (F.col("start") + F.col("size")).alias("end"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "copy", "single", "start", "window"]
@@ -217,12 +227,14 @@ def _by_joins(shared: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     ones = joined.filter(place.eqNullSafe(F.col("one"))).select(
-        "doc_id", "copy", "first", (F.col("times") == 1).alias("single"), "bytes"
+        "doc_id", "copy", F.col("firsts")[0].alias("first"), (F.col("times") == 1).alias("single"), "bytes"
     )
     schema = "doc_id long, copy long, single boolean, start long, window binary"
     windows = ones.mapInArrow(run, schema)
     windows = saved(windows, "windows")
-    again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("window")
+    again = saved(
+        windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("window"), "again"
+    )
     single = windows.filter("single").join(again, "window").select(
         "doc_id", "copy", "start", (F.col("start") + LENGTH).alias("end")
     )
@@ -232,29 +244,32 @@ def _by_joins(shared: DataFrame) -> DataFrame:
 def covered(read: DataFrame, hot: int = HOT) -> DataFrame:
     """Spans of bytes that repeated windows cover, of texts (doc_id, copy, text)."""
     table = saved(anchors(read), "anchors")
-    repeated = table.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    # Written first, so that both sides of the join are dealt anew and can be split.
+    repeated = saved(table.groupBy("anchor").agg(F.sum(F.size("places")).alias("rows")).filter("rows > 1"), "repeated")
     wanted = (
         table.join(repeated, "anchor")
         .groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"))
-        .agg(F.collect_list(F.struct("anchor", "first", "windows", (F.col("rows") > hot).alias("hot"))).alias("runs"))
+        .agg(F.collect_list(F.struct("anchor", "places", (F.col("rows") > hot).alias("hot"))).alias("runs"))
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        names = ["doc_id", "copy", "anchor", "first", "hot", "bytes"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.binary())
+        names = ["doc_id", "copy", "anchor", "hot", "firsts", "bytes"]
         for batch in batches:
             for doc_id, copy, text, found in zip(*(c.to_pylist() for c in batch.columns[:2]), *batch.columns[2:]):
                 text = text.as_buffer().to_pybytes()
-                rows = [
-                    (doc_id, copy, r["anchor"], at, r["hot"], text[at : at + r["windows"] + LENGTH - 1])
-                    for r in found.as_py()
-                    for at in [r["first"]]
-                ]
+                rows = []
+                for r in found.as_py():
+                    equal: dict[bytes, list[int]] = {}
+                    for place in r["places"]:
+                        at = place["first"]
+                        equal.setdefault(text[at : at + place["windows"] + LENGTH - 1], []).append(at)
+                    rows += ((doc_id, copy, r["anchor"], r["hot"], firsts, run) for run, firsts in equal.items())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     fetched = read.join(wanted, same).select("doc_id", "copy", "text", "runs")
-    schema = "doc_id long, copy long, anchor long, first long, hot boolean, bytes binary"
+    schema = "doc_id long, copy long, anchor long, hot boolean, firsts array<long>, bytes binary"
     shared = saved(fetched.mapInArrow(run, schema), "shared")
     return _by_refinement(shared.filter("NOT hot")).unionAll(_by_joins(shared.filter("hot")))
 
