@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: The fields of a header line, by the version of the format.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -204,7 +206,9 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str) -> None:
     schema = "key long, url string, ip string, date string, digest string, head binary, payload binary"
     records = archive_rows(spark, arc, read_arc, row, schema)
     firsts = records.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    joined = records.join(firsts.select("digest", "first"), "digest", "left")
+    # Written first, so that both sides of the join are dealt anew and can be split.
+    firsts = saved(firsts.select("digest", "first"), "digests")
+    joined = records.join(firsts, "digest", "left")
     names = joined.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

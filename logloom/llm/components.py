@@ -9,8 +9,12 @@ from .common import saved
 
 
 def _starred(pairs: DataFrame) -> DataFrame:
-    """Each (node, other) with the smallest of the node and its others."""
-    least = pairs.groupBy("node").agg(F.least("node", F.min("other")).alias("least"))
+    """Each (node, other) with the smallest of the node and its others.
+
+    The smallest ones are written first, so that both sides of the join are
+    dealt anew and a node with very many links can be split.
+    """
+    least = saved(pairs.groupBy("node").agg(F.least("node", F.min("other")).alias("least")), "least")
     return pairs.join(least, "node")
 
 

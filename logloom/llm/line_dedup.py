@@ -70,11 +70,13 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = 5) ->
     table = saved(docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, schema), "units")
     units = table.filter("start >= 0")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy", "start")
-    repeated = (
+    # Written first, so that both sides of the join are dealt anew and can be split.
+    repeated = saved(
         units.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("times"), F.min(rank).alias("first"))
         .filter(F.col("times") > 1)
-        .select("digest", "first")
+        .select("digest", "first"),
+        "repeated",
     )
     gone = (
         units.join(repeated, "digest")
