@@ -153,12 +153,18 @@ def _spans(again: np.ndarray) -> Iterator[tuple[int, int]]:
         yield start, end + LENGTH - 1
 
 
-_SPANS = "doc_id long, copy long, start long, end long"
+_SPANS = "doc_id long, copy long, spans array<struct<start:long,end:long>>"
 
 
-def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 4
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "start", "end"])
+def _span_batch(found: dict[tuple, list[tuple[int, int]]]) -> pa.RecordBatch:
+    """One row per document of these, with its spans."""
+    pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    kinds = (pa.int64(), pa.int64(), pa.list_(pair))
+    rows = [(*key, [{"start": a, "end": b} for a, b in spans]) for key, spans in found.items()]
+    columns = list(zip(*rows)) or [[]] * 3
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "copy", "spans"]
+    )
 
 
 def _by_refinement(shared: DataFrame) -> DataFrame:
@@ -176,7 +182,7 @@ def _by_refinement(shared: DataFrame) -> DataFrame:
             # Runs with equal bytes are all repeated; the others are classed.
             mixed = [text for group in groups.values() if len(group) > 1 for text in group]
             classed = dict(zip(mixed, repeated_windows(mixed))) if mixed else {}
-            spans = []
+            spans: dict[tuple, list[tuple[int, int]]] = {}
             for group in groups.values():
                 for text, same in group.items():
                     if sum(len(r[3]) for r in same) > 1:
@@ -185,7 +191,9 @@ def _by_refinement(shared: DataFrame) -> DataFrame:
                         found = list(_spans(classed[text]))
                     else:
                         found = []
-                    spans += ((r[0], r[1], at + a, at + b) for r in same for at in r[3] for a, b in found)
+                    for row in same if found else ():
+                        own = spans.setdefault(row[:2], [])
+                        own += ((at + a, at + b) for at in row[3] for a, b in found)
             return _span_batch(spans)
 
         for batch in batches:
@@ -211,10 +219,12 @@ def _by_joins(shared: DataFrame) -> DataFrame:
     # Written first, so that both sides of the join are dealt anew and can be split.
     classes = saved(runs_.groupBy("run").agg(F.sum(F.size("firsts")).alias("times"), F.min(place).alias("one")), "classes")
     joined = saved(runs_.join(classes, "run"), "runs")
+    size = F.octet_length("bytes")
     same = joined.filter("times > 1").select(
-        "doc_id", "copy", F.explode("firsts").alias("start"), F.octet_length("bytes").alias("size")
+        "doc_id",
+        "copy",
+        F.transform("firsts", lambda at: F.struct(at.alias("start"), (at + size).alias("end"))).alias("spans"),
     )
-    same = same.select("doc_id", "copy", "start", (F.col("start") + F.col("size")).alias("end"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "copy", "single", "start", "window"]
@@ -236,7 +246,7 @@ def _by_joins(shared: DataFrame) -> DataFrame:
         windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("window"), "again"
     )
     single = windows.filter("single").join(again, "window").select(
-        "doc_id", "copy", "start", (F.col("start") + LENGTH).alias("end")
+        "doc_id", "copy", F.array(F.struct("start", (F.col("start") + LENGTH).alias("end"))).alias("spans")
     )
     return same.unionAll(single)
 
@@ -287,7 +297,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     spans = (
         covered(read)
         .groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"))
-        .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+        .agg(F.flatten(F.collect_list("spans")).alias("spans"))
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
