@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from .common import saved
 
 _EXACT = 2.0**53
+_LONG = 2**63 - 1
 
 
 class BallTree:
@@ -99,7 +100,7 @@ def _searched(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFr
         rows, queried = rows.astype(kind), queried.astype(kind)
         for own, query, least in zip(asked["query_id"], queried, asked["least"]):
             if kind is object:
-                scores = rows @ query
+                scores = np.array([min(max(int(s), -_LONG), _LONG) for s in rows @ query], np.int64)
                 keep = ids != own
                 best = np.lexsort((ids[keep], -scores[keep]))[:k]
                 scores, found = scores[keep][best], ids[keep][best]
@@ -124,7 +125,8 @@ def top_k(
     that is missing or holds a missing, infinite or undefined component takes no
     part, nor does one without an id. Queries are the ids divisible by
     ``every``; rows of the query's own id are not candidates; vectors of
-    another length aren't either. Repeated rows are candidates each.
+    another length aren't either. Repeated rows are candidates each. Scores
+    beyond a long count as its limit.
 
     Rows are dealt evenly to shards. First each query searches one shard; the
     kth score found there bounds its search in all shards. Shards meet blocks
