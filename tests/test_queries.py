@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SMALL
+from logloom.plans import catalog, oracles
 from oracle import compare, connect
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLES = oracles.ORACLES
 #: Labels of clusters come out of an iterative method.
 WITHOUT_ORACLE = {"error_clusters", "error_cluster_sizes"}
 
@@ -17,6 +18,10 @@ def db():
     return connect(SMALL)
 
 
+def test_entry_has_them():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_only_clusters_have_no_oracle():
     assert set(QUERIES) - set(ORACLES) == WITHOUT_ORACLE
     assert set(ORACLES) <= set(QUERIES)
