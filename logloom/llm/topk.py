@@ -106,7 +106,8 @@ def _searched(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFr
                 scores, found = scores[keep][best], ids[keep][best]
             else:
                 scores, found = search(tree, rows, ids, query, own, k, least)
-            out.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": [int(s) for s in scores]}))
+            if len(found):  # an empty table would make the others' numbers doubles
+                out.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": [int(s) for s in scores]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
 
 
