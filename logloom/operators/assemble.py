@@ -137,8 +137,10 @@ def records_of(lines: DataFrame) -> DataFrame:
     """Lines with a ``format`` column to records, each format its own way.
 
     Lines of structured formats are records already and skip the shuffle;
-    Windows events are stitched at ``<Event``; all others at a record start.
+    Windows events are stitched at ``<Event``; all others, and rows without a
+    format, at a record start.
     """
+    lines = lines.withColumn("format", F.coalesce("format", F.lit(fv.FALLBACK_FORMAT)))
     fmt = F.col("format")
     windows = fmt == "windows_event_xml"
     as_is = lines.filter(is_structured() & ~windows).withColumnRenamed("line_id", "record_id")

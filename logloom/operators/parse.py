@@ -83,6 +83,7 @@ FORMATS: dict[str, Format] = {
     "windows_event_xml": Format("Windows event XML", windows_event_records),
     "generic": Format("Any text; time, level and address are looked for", generic_records),
 }
+BUILT_IN_FALLBACK = FORMATS[fv.FALLBACK_FORMAT]
 
 
 def get_supported_formats() -> list[str]:
@@ -183,7 +184,7 @@ def parse(
     """Parse a table with a ``value`` column into ``LOG_SCHEMA``.
 
     Without ``format`` each row is parsed by its own ``format`` column, in one
-    pass over the table; unknown names are parsed as free text. ``config``
+    pass over the table; missing and unknown names are parsed as free text. ``config``
     holds ``timestamp_format`` (strftime) for formats that take it. ``year``
     completes times that have none.
     """
@@ -215,9 +216,15 @@ def parse(
             *_origin(df), F.lit(format).alias("format"), F.inline(rows)
         )
 
+    df = df.withColumn("format", F.coalesce("format", F.lit(fv.FALLBACK_FORMAT)))
     built_in = {n: f for n, f in FORMATS.items() if f.records}
     tables = [n for n, f in FORMATS.items() if f.table]
-    fallback = built_in[fv.FALLBACK_FORMAT]
+    # Where free text has a table parser of its own, its rows and those of unknown names go there.
+    fallback = built_in.get(fv.FALLBACK_FORMAT)
+    if fallback is None:
+        known = F.col("format").isin(*FORMATS)
+        df = df.withColumn("format", F.when(known, F.col("format")).otherwise(fv.FALLBACK_FORMAT))
+        fallback = BUILT_IN_FALLBACK
     chosen = reduce(
         lambda case, item: case.when(
             F.col("format") == item[0], item[1].records(F.col("value"), options(item[1]))

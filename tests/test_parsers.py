@@ -2,8 +2,10 @@ from datetime import datetime
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import logloom as L
+from logloom.operators.parse import BUILT_IN_FALLBACK, FORMATS, parse, register_parser, unregister_parser
 
 CUSTOM = [
     "[2025-03-02 07:15:09] [ERROR] [billing] invoice 77 rejected, latency=2.5s user_id=k9",
@@ -221,3 +223,17 @@ def test_registered_parsers(lines, spark):
         L.unregister_parser("own")
         L.unregister_parser("own_rows")
     assert "own" not in L.get_all_format_info()
+
+
+def test_missing_formats_and_own_fallback(spark):
+    """Rows without a format are free text, whatever parsers are registered."""
+    rows = spark.createDataFrame([(None, "one"), ("custom", "[2025-01-01 00:00:00] [INFO] [m] two"), ("odd", "three")], "format string, value string")
+    assert parse(rows).count() == 3
+    table = lambda lines: lines.select(F.concat(F.lit("own "), "value").alias("message"))
+    register_parser("mine", table)
+    register_parser("generic", table)
+    try:
+        assert sorted(r.message for r in parse(rows).collect()) == ["own one", "own three", "two"]
+    finally:
+        unregister_parser("mine")
+        FORMATS["generic"] = BUILT_IN_FALLBACK
