@@ -19,8 +19,6 @@ from ..functions import text as tx
 from .detect import is_structured
 from .ordering import SOURCE_KEY, chunk, with_source_key
 
-#: A record of more chunks than this is returned in several parts.
-PART_CHUNKS = 64
 CHUNK_KEY = (*SOURCE_KEY, "chunk")
 
 
@@ -54,9 +52,9 @@ def _chunks(lines: DataFrame, is_start: Column, same: list[str]) -> DataFrame:
     """One row per chunk: its source, and the record running into it.
 
     ``owner`` is the first line of that record: the last start in an earlier
-    chunk, or the first line of the source where there is none. ``distance``
-    counts the chunks since then. Texts are keys of the first aggregation, as
-    only numbers can be aggregated by hash before the shuffle.
+    chunk, or the first line of the source where there is none. Texts are keys
+    of the first aggregation, as only numbers can be aggregated by hash before
+    the shuffle.
     """
     chunks = (
         lines.select(*CHUNK_KEY, *same, "line_id", is_start.alias("start"))
@@ -74,30 +72,23 @@ def _chunks(lines: DataFrame, is_start: Column, same: list[str]) -> DataFrame:
     )
     in_source = Window.partitionBy(*SOURCE_KEY).orderBy("chunk")
     before = in_source.rowsBetween(Window.unboundedPreceding, -1)
-    began = F.when(F.col("last_start").isNotNull(), F.col("place"))
-    return (
-        chunks.withColumn("place", F.row_number().over(in_source))
-        .withColumn("began", F.coalesce(F.max(began).over(before), F.lit(1)))
-        .select(
-            *CHUNK_KEY,
-            *same,
-            F.coalesce(
-                F.max("last_start").over(before), F.min("source_start").over(in_source)
-            ).alias("owner"),
-            (F.col("place") - F.col("began")).alias("distance"),
-        )
+    return chunks.select(
+        *CHUNK_KEY,
+        *same,
+        F.coalesce(
+            F.max("last_start").over(before), F.min("source_start").over(in_source)
+        ).alias("owner"),
     )
 
 
-def assemble_records(
-    lines: DataFrame, start: Column | None = None, part_chunks: int = PART_CHUNKS
-) -> DataFrame:
+def assemble_records(lines: DataFrame, start: Column | None = None) -> DataFrame:
     """Lines (``source, line_id, value``) to records (``source, record_id, value``).
 
-    ``record_id`` is the ``line_id`` of the record's first line. Text that runs
-    over more than ``part_chunks`` chunks without a start comes in several rows
-    numbered by ``part``; nothing is lost. ``format`` and ``modified``, which
-    do not vary within a source, are kept if present.
+    ``record_id`` is the ``line_id`` of the record's first line. A record is
+    one row, however many chunks it runs over: its text is one value, and
+    Spark fails rather than cut it if it outgrows what a value holds (2 GB).
+    ``format`` and ``modified``, which do not vary within a source, are kept if
+    present.
     """
     is_start = starts_record(F.col("value")) if start is None else start
     same = ["source"] + [c for c in ("format", "modified") if c in lines.columns]
@@ -110,7 +101,7 @@ def assemble_records(
     inner = (
         pieces.filter(~at_border)
         .join(chunks.hint("shuffle_hash"), [*CHUNK_KEY])
-        .select(*same, F.col("first_line").alias("record_id"), F.lit(0).alias("part"), "value")
+        .select(*same, F.col("first_line").alias("record_id"), "value")
     )
     continues = F.col("run") == 0
     border = (
@@ -120,14 +111,10 @@ def assemble_records(
             *SOURCE_KEY,
             *same,
             F.when(continues, F.col("owner")).otherwise(F.col("first_line")).alias("record_id"),
-            F.when(continues, F.floor(F.col("distance") / part_chunks))
-            .otherwise(0)
-            .cast("int")
-            .alias("part"),
             "first_line",
             "value",
         )
-        .groupBy(*SOURCE_KEY, "record_id", "part")
+        .groupBy(*SOURCE_KEY, "record_id")
         .agg(*[F.first(c).alias(c) for c in same], _in_order("first_line").alias("value"))
     )
     return inner.unionByName(border.select(inner.columns))
@@ -148,4 +135,4 @@ def records_of(lines: DataFrame) -> DataFrame:
     start = F.when(windows, F.col("value").rlike(tx.UNICODE + fv.XML_EVENT_START)).otherwise(
         starts_record(F.col("value"))
     )
-    return as_is.withColumn("part", F.lit(0)).unionByName(assemble_records(stitched, start))
+    return as_is.unionByName(assemble_records(stitched, start))

@@ -48,18 +48,39 @@ def test_records_across_chunks(spark, share):
     rows = [("a", n, t) for n, t in pairs] + [("b", n, t) for n, t in pairs[:50]]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "source string, line_id bigint, value string").repartition(7)
-    got = L.assemble_records(df, part_chunks=10**6)
+    got = L.assemble_records(df)
     assert found(got.filter("source = 'a'")) == stitched(pairs)
     assert found(got.filter("source = 'b'")) == stitched(pairs[:50])
 
 
-def test_long_record_in_parts(spark):
-    pairs = [(i * CHUNK, f"text {i}") for i in range(25)]
-    df = spark.createDataFrame([("a", n, t) for n, t in pairs], "source string, line_id bigint, value string")
-    parts = L.assemble_records(df, part_chunks=4).orderBy("part").collect()
-    assert {r["record_id"] for r in parts} == {0}
-    assert [r["part"] for r in parts] == list(range(7))
-    assert "\n".join(r["value"] for r in parts) == "\n".join(t for _, t in pairs)
+STARTS = {
+    "custom": "[2025-03-02 07:15:00] [ERROR] [api] failed",
+    "syslog": "Mar  2 07:15:00 h t[1]: failed",
+    "apache_modjk": "[Sun Mar 02 07:15:00 2025] [error] failed",
+    "generic": "2025-03-02 07:15:00 ERROR failed",
+}
+
+
+@pytest.mark.parametrize("format", STARTS)
+def test_records_over_hundreds_of_chunks(spark, format):
+    """Parsing gives one row per record with all its text, at any length."""
+    rng = random.Random(format)
+    rows, wanted, at = [], {}, 0
+    for size in (1, 700, 2, 300, 1):
+        first = at
+        texts = [STARTS[format]] + [f"    frame {first} {i}" for i in range(1, size)]
+        for text in texts:
+            rows.append(("a", at, text, format))
+            at += rng.choice([1, CHUNK, CHUNK * 3])
+        wanted[first] = texts[1:]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "source string, line_id bigint, value string, format string").repartition(5)
+    got = {r["record_id"]: r["message"] for r in L.parse(L.records_of(df), year=2025).collect()}
+    assert set(got) == set(wanted)
+    for first, tail in wanted.items():
+        message = got[first].split("\n")
+        assert message[0].endswith("failed")
+        assert [t.strip() for t in message[1:]] == [t.strip() for t in tail]
 
 
 def test_files_split_into_blocks(spark, tmp_path):
