@@ -40,6 +40,41 @@ RECORD_START = (
 XML_EVENT_START = r"^\s*<Event[ >]"
 XML_EVENT = r"(?s)<Event[ >].*?</Event>"
 
+# --- Fixed values: connector and servlet connector logs ----------------------
+CONNECTOR_LINE = r"^\[([^\]\n]+)\]\s+\[(\w+)\]\s+(?s:(.*))$"
+CONNECTOR_TIME = r"\[(\w{3}\s+\w{3}\s+\d{2}\s+\d{2}:\d{2}:\d{2}\s+\d{4})\]"
+CONNECTOR_ISO_TIME = r"\[(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})\]"
+CONNECTOR_SEVERITY = r"\[(\w+)\]"
+SERVLET_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})[.,]\d{3}\s+\[([\w \t]+)\]\s+(?s:(.*))$"
+SERVLET_LINE_ANY_TIME = r"^(.*?)\s+\[([\w \t]+)\]\s+(?s:(.*))$"
+# Kind of worker and its mark, first match wins.
+WORKER_TYPES = (
+    ("child_process", "Found child"),
+    ("environment", "workerEnv"),
+)
+# Field, the mark a message must hold, and the pattern of the field's value.
+WORKER_FACTS = (
+    ("error_state", "workerEnv", r"error state (\d+)"),
+    ("child_pid", "Found child", r"Found child (\d+)"),
+    ("slot", "Found child", r"slot (\d+)"),
+    ("config_file", ".properties", r"(/[^\s]+\.properties)"),
+)
+
+# --- Fixed values: syslog and web access lines -------------------------------
+SYSLOG_LINE = r"^(\w{3} +\d+ \d{2}:\d{2}:\d{2}) (\S+) (.+?): (?s:(.*))$"
+ACCESS_LINE = (
+    r"^(\S+) \S+ \S+ \[([^\]\n]+)\] "
+    r'"(([A-Z]+) ([^\s]+) [^"\n]+)" (\d{3}) \S+'
+    r'(?: "[^"\n]*" "([^"\n]*)(")|(?!\S))(?s:.*)$'
+)
+
+# --- Fixed values: Windows events; attributes in either kind of quotes -------
+EVENT_TIME = r"""<TimeCreated[^>]*SystemTime=["']([^"']+)["']"""
+EVENT_LEVEL = r"<Level>(\d+)</Level>"
+EVENT_PROVIDER = r"""<Provider[^>]*Name=["']([^"']+)["']"""
+EVENT_DATA = r"(?s)<Data>(.*?)</Data>"
+EVENT_NAMED_DATA = r"(?s)<Data\s[^>]*>(.*?)</Data>"
+
 # --- Fixed values: line types, first match wins ------------------------------
 LINE_TYPES = (
     ("HTTP_ACCESS", r"\b(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b .* HTTP/\d"),

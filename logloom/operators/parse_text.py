@@ -16,13 +16,8 @@ from ..schema import record
 
 _BRACKETED = tx.UNICODE + rf"^\[({ts.ISO_SECONDS})\] \[(.*?)\] \[(.*?)\] (?s:(.*))$"
 _BRACKETED_ANY_TIME = tx.UNICODE + r"^\[(.*?)\] \[(.*?)\] \[(.*?)\] (?s:(.*))$"
-_SYSLOG = tx.UNICODE + r"^(\w{3} +\d+ \d{2}:\d{2}:\d{2}) (\S+) (.+?): (?s:(.*))$"
-_ACCESS = (
-    tx.UNICODE
-    + r"^(\S+) \S+ \S+ \[([^\]\n]+)\] "
-    + r'"(([A-Z]+) ([^\s]+) [^"\n]+)" (\d{3}) \S+'
-    + r'(?: "[^"\n]*" "([^"\n]*)(")|(?!\S))(?s:.*)$'
-)
+_SYSLOG = tx.UNICODE + fv.SYSLOG_LINE
+_ACCESS = tx.UNICODE + fv.ACCESS_LINE
 
 
 def _message(text: Column, first_line_only: bool) -> Column:
