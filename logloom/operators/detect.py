@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
+from ..plans.workspace import work_folder
 from .ordering import SOURCE_KEY, with_source_key
 
 #: Cloud and container exports are JSON too, so they are asked for first.
@@ -55,19 +56,18 @@ def detect_formats(
     """One row per source: ``source``, ``format``.
 
     A source has the first format in the order that any of its first lines
-    fits. Only the position of that format travels, not the text. The first
-    lines are found by a row-number limit that Spark applies before the
-    shuffle, in two steps: per source and input partition group, then per
-    source, so that a huge source does not meet in one task.
+    fits. Only the first lines are matched: a row-number limit that Spark
+    applies before the shuffle finds them, in two steps, per source and input
+    partition group, then per source, so that a huge source does not meet in
+    one task.
     """
-    ranked = with_source_key(lines).select(
+    first = with_source_key(lines).select(
         *SOURCE_KEY,
         "source",
         "line_id",
-        line_priority(F.col("value"), order).alias("priority"),
+        "value",
         (F.spark_partition_id() % _SALTS).alias("part"),
     )
-    first = ranked
     for keys in ([*SOURCE_KEY, "part"], SOURCE_KEY):
         window = Window.partitionBy(*keys).orderBy("line_id")
         first = first.withColumn("n", F.row_number().over(window)).filter(
@@ -75,6 +75,7 @@ def detect_formats(
         )
     names = F.array(*[F.lit(n) for n in format_order(order)])
     best = F.get(names, F.min("priority"))
+    first = first.withColumn("priority", line_priority(F.col("value"), order))
     return first.groupBy("source").agg(
         F.coalesce(best, F.lit(fv.FALLBACK_FORMAT)).alias("format")
     )
@@ -86,17 +87,37 @@ def detect_format(lines: DataFrame, order: str = "specific") -> str:
     return row["format"] if row else fv.FALLBACK_FORMAT
 
 
+def found_formats(
+    lines: DataFrame, order: str = "specific", sample_lines: int = fv.DETECTION_LINES
+) -> DataFrame:
+    """The rows of ``detect_formats``, written to the job's folder and read again.
+
+    Detection runs once, here; nothing stays in memory for the session.
+    """
+    spark = lines.sparkSession
+    folder = work_folder(spark, "formats")
+    detected = detect_formats(lines, order, sample_lines)
+    detected.write.parquet(folder)
+    return spark.read.schema(detected.schema).parquet(folder)
+
+
 def with_format(
-    lines: DataFrame, order: str = "specific", broadcast_sources: int = BROADCAST_SOURCES
+    lines: DataFrame,
+    order: str = "specific",
+    broadcast_sources: int = BROADCAST_SOURCES,
+    sample_lines: int = fv.DETECTION_LINES,
+    formats: DataFrame | None = None,
 ) -> DataFrame:
     """The lines with the detected format of their source.
 
-    The detection runs as a job of its own and its rows, one per source, are
-    counted: only a table of at most ``broadcast_sources`` rows is broadcast.
-    Beyond that the join shuffles, and the adaptive planner splits partitions
-    of a source with too many lines.
+    ``formats`` are rows of ``found_formats``, which otherwise runs here as a
+    job of its own. Its rows, one per source, are counted: only a table of at
+    most ``broadcast_sources`` rows is broadcast. Beyond that the join
+    shuffles, and the adaptive planner splits partitions of a source with too
+    many lines.
     """
-    formats = detect_formats(lines, order).persist()
+    if formats is None:
+        formats = found_formats(lines, order, sample_lines)
     few = formats.count() <= broadcast_sources
     return lines.join(F.broadcast(formats) if few else formats, "source", "left").withColumn(
         "format", F.coalesce("format", F.lit(fv.FALLBACK_FORMAT))

@@ -68,21 +68,28 @@ def page_rows(
     """Page ``page`` (from 1) of the log in the order of its records."""
     start, end = (page - 1) * size, page * size
     chunked = logs.withColumn("_chunk", F.shiftright("record_id", PAGE_CHUNK_BITS))
-    # One row per source and million of numbers, so one task totals them all.
-    in_order = Window.orderBy("source", "_chunk")
+    sizes = chunked.groupBy("source", "_chunk").agg(F.count(F.lit(1)).alias("_size"))
+    # One row per source, so one task totals them all; then a source's chunks.
+    earlier = (
+        sizes.groupBy("source")
+        .agg(F.sum("_size").alias("_all"))
+        .withColumn("_earlier", F.sum("_all").over(Window.orderBy("source")) - F.col("_all"))
+        .filter((F.col("_earlier") < end) & (F.col("_earlier") + F.col("_all") > start))
+        .select(F.col("source").alias("_source"), "_earlier")
+    )
+    in_order = Window.partitionBy("source").orderBy("_chunk")
+    running = F.col("_earlier") + F.sum("_size").over(in_order) - F.col("_size")
     wanted = (
-        chunked.groupBy("source", "_chunk")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_before", F.sum("_size").over(in_order) - F.col("_size"))
+        # A page has rows of at most ``size`` sources and chunks.
+        sizes.join(F.broadcast(earlier), F.col("source").eqNullSafe(F.col("_source")))
+        .withColumn("_before", running)
         .filter((F.col("_before") < end) & (F.col("_before") + F.col("_size") > start))
-        .select(
-            F.col("source").alias("_source"), F.col("_chunk").alias("_wanted"), "_before"
-        )
+        .select("_source", F.col("_chunk").alias("_wanted"), "_before")
     )
     within = Window.partitionBy("source", "_chunk").orderBy("record_id")
     ranked = (
         chunked.join(
-            wanted,
+            F.broadcast(wanted),
             F.col("source").eqNullSafe(F.col("_source"))
             & F.col("_chunk").eqNullSafe(F.col("_wanted")),
         )

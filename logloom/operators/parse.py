@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -180,11 +180,14 @@ def parse(
     *,
     year: int | None = None,
     first_line_only: bool = False,
+    among: Collection[str] | None = None,
 ) -> DataFrame:
     """Parse a table with a ``value`` column into ``LOG_SCHEMA``.
 
     Without ``format`` each row is parsed by its own ``format`` column, in one
-    pass over the table; missing and unknown names are parsed as free text. ``config``
+    pass over the table; missing and unknown names are parsed as free text.
+    ``among`` names all formats in that column where they are known, so that
+    the plan holds no parser for others. ``config``
     holds ``timestamp_format`` (strftime) for formats that take it. ``year``
     completes times that have none.
     """
@@ -217,21 +220,24 @@ def parse(
         )
 
     df = df.withColumn("format", F.coalesce("format", F.lit(fv.FALLBACK_FORMAT)))
-    built_in = {n: f for n, f in FORMATS.items() if f.records}
-    tables = [n for n, f in FORMATS.items() if f.table]
+    there = {n: f for n, f in FORMATS.items() if among is None or n in {*among, fv.FALLBACK_FORMAT}}
+    built_in = {n: f for n, f in there.items() if f.records}
+    tables = [n for n, f in there.items() if f.table]
     # Where free text has a table parser of its own, its rows and those of unknown names go there.
     fallback = built_in.get(fv.FALLBACK_FORMAT)
     if fallback is None:
         known = F.col("format").isin(*FORMATS)
         df = df.withColumn("format", F.when(known, F.col("format")).otherwise(fv.FALLBACK_FORMAT))
         fallback = BUILT_IN_FALLBACK
+    free_text = fallback.records(F.col("value"), options(fallback))
+    others = [i for i in built_in.items() if i[0] != fv.FALLBACK_FORMAT]
     chosen = reduce(
         lambda case, item: case.when(
             F.col("format") == item[0], item[1].records(F.col("value"), options(item[1]))
         ),
-        [i for i in built_in.items() if i[0] != fv.FALLBACK_FORMAT],
+        others,
         F,
-    ).otherwise(fallback.records(F.col("value"), options(fallback)))
+    ).otherwise(free_text) if others else free_text
     rest = df.filter(~F.col("format").isin(tables)) if tables else df
     parsed = rest.select(*_origin(df), "format", F.inline(chosen))
     for name in tables:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # The low bits of a line id count lines within an input partition; the bits
 # above tell the file's blocks apart.
-_LINE_BITS = 30
+_LINE_BITS = 33
 
 
 def _clean(value: Column, encoding: str) -> Column:
@@ -39,13 +39,11 @@ def _line_id(spark: SparkSession) -> Column:
         _bytes(spark.conf.get("spark.sql.files.openCostInBytes")),
     )
     block = F.shiftright(F.col("_metadata.file_block_start"), max(least.bit_length() - 1, 0))
-    in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    fits = (in_partition < (1 << _LINE_BITS)) & (block < (1 << 33))
-    return F.when(fits, F.shiftleft(block, _LINE_BITS) + in_partition).otherwise(
-        F.raise_error(
-            F.lit("too many lines in an input partition or blocks in a file to number them")
-        )
-    )
+    # All the bits that Spark itself has for the rows of a partition.
+    in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _LINE_BITS) - 1))
+    return F.when(
+        block < (1 << (63 - _LINE_BITS)), F.shiftleft(block, _LINE_BITS) + in_partition
+    ).otherwise(F.raise_error(F.lit("too many blocks in a file to number its lines")))
 
 
 def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-8") -> DataFrame:
@@ -91,24 +89,29 @@ def lines_of_table(df: DataFrame, value: str, line_id: str, source: Column | str
     )
 
 
-def read_windows_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_windows_events(
+    spark: SparkSession, path: str | list[str], encoding: str = "utf-8"
+) -> DataFrame:
     """Windows event exports, one row per complete ``<Event>`` element.
 
     The closing tag serves as the separator of rows, so that a file of any
     size is split among tasks and no line breaks are needed, and events need
     not stand below one root element. Spark's own XML source reads a file in
-    one task. The rows are those of ``read_lines``.
+    one task. The rows are those of ``read_lines``. The separator leaves the
+    tag's first character, by which the text of an event that the end of a
+    file cuts off is told from a finished one; only where the cut falls right
+    behind such a character it is not.
     """
-    event = F.regexp_extract("value", r"(?s)^.*(<Event[ >].*)$", 1)
+    event = F.regexp_extract(_clean(F.col("value"), encoding), r"(?s)^.*(<Event[ >].*)$", 1)
     return (
-        spark.read.option("lineSep", "</Event>")
+        spark.read.option("lineSep", "/Event>")
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("source"),
             _line_id(spark).alias("line_id"),
-            _clean(event, "utf-8").alias("value"),
+            event.alias("value"),
             F.col("_metadata.file_modification_time").alias("modified"),
         )
-        .filter(F.col("value") != "")
-        .withColumn("value", F.concat("value", F.lit("</Event>")))
+        .filter(F.col("value").endswith("<"))
+        .withColumn("value", F.concat("value", F.lit("/Event>")))
     )
