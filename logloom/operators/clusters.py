@@ -56,11 +56,12 @@ def cluster_errors(
     seed: int = fv.CLUSTER_SEED,
     restarts: int = fv.CLUSTER_RESTARTS,
     stopped: Iterable[str] | None = None,
+    max_features: int = fv.CLUSTER_VOCABULARY,
 ) -> DataFrame:
     """Every error message with a cluster label: ``message``, ``cluster``.
 
-    TF-IDF over the 1000 most frequent words (at most that many rows reach the
-    driver), then K-means, the best of several starts. Copies of a message are
+    TF-IDF over the ``max_features`` most frequent words (so many rows reach
+    the driver; the others take no part), then K-means, the best of several starts. Copies of a message are
     one weighted point, so training works on distinct texts and is not slowed
     down by a message that makes up much of the log. There is no row where
     there are fewer than two errors or no word is left.
@@ -77,7 +78,7 @@ def cluster_errors(
     )
     try:
         total = distinct.agg(F.sum("weight")).first()[0] or 0.0
-        vocabulary = _vocabulary(distinct, fv.CLUSTER_VOCABULARY) if total >= 2 else []
+        vocabulary = _vocabulary(distinct, max_features) if total >= 2 else []
         if not vocabulary:
             return spark.createDataFrame([], CLUSTER_SCHEMA)
         k = int(min(n_clusters, total))

@@ -34,8 +34,13 @@ def hourly_counts(logs: DataFrame) -> DataFrame:
     )
     by_time = Window.orderBy("hour")
     until = F.coalesce(F.lead("hour").over(by_time) - F.expr("INTERVAL 1 HOUR"), F.col("hour"))
-    filled = observed.withColumn("until", until).select(
-        F.explode(F.sequence("hour", "until", F.expr("INTERVAL 1 HOUR"))).alias("timestamp"),
+    # In two steps, so that a wrong date thousands of years away makes no huge array.
+    steps = observed.withColumn("until", until).withColumn(
+        "step", F.explode(F.sequence("hour", "until", F.expr("INTERVAL 1000 HOUR")))
+    )
+    last = F.least(F.col("step") + F.expr("INTERVAL 999 HOUR"), F.col("until"))
+    filled = steps.select(
+        F.explode(F.sequence("step", last, F.expr("INTERVAL 1 HOUR"))).alias("timestamp"),
         "hour", "count", "errors",
     )
     seen = F.col("timestamp") == F.col("hour")

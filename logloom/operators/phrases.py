@@ -45,21 +45,16 @@ def top_phrases(
 ) -> DataFrame:
     """The most frequent phrases of a text column: ``ngram``, ``count``.
 
-    Stop words are taken out first, so a phrase may bridge one. Equal messages
-    are grouped first, since logs repeat themselves: each distinct text is
-    taken apart once and its phrases count as often as it occurs.
+    Stop words are taken out first, so a phrase may bridge one. Texts are not
+    shuffled, only their phrases, counted on the map side before.
     """
     stopped = stop_words() if stopped is None else stopped
-    distinct = (
-        messages.filter((F.col(column) != "") & F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("text"))
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
     return (
-        distinct.select(words(F.col("text"), stopped).alias("tokens"), "times")
-        .select(F.explode(_grams(F.col("tokens"))).alias("ngram"), "times")
+        messages.filter(F.col(column) != "")
+        .select(words(F.col(column), stopped).alias("tokens"))
+        .select(F.explode(_grams(F.col("tokens"))).alias("ngram"))
         .groupBy("ngram")
-        .agg(F.sum("times").alias("count"))
+        .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.desc("count"), F.asc("ngram"))
         .limit(top)
     )

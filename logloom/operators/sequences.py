@@ -34,12 +34,12 @@ def event_token(logs: DataFrame) -> Column:
     )
 
 
-def _latest_per_instant(rows: DataFrame) -> DataFrame:
-    """The last 50 rows of every instant; earlier ones are in no history.
+def _latest_per_instant(rows: DataFrame, lookback_rows: int) -> DataFrame:
+    """The last ``lookback_rows`` of every instant; earlier ones are in no history.
 
     Coarse clocks put many rows on one instant. The row-number limit applies
     before the shuffle, and an instant is spread over several tasks, which may
-    each keep 50. More than 50 rows of an instant do no harm, they only bound
+    each keep as many. More rows of an instant do no harm, the limit only bounds
     what follows.
     """
     latest = Window.partitionBy("t", "salt").orderBy(
@@ -48,12 +48,12 @@ def _latest_per_instant(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("salt", F.spark_partition_id() % _SALTS)
         .withColumn("n", F.row_number().over(latest))
-        .filter(F.col("n") <= fv.LOOKBACK_ROWS)
+        .filter(F.col("n") <= lookback_rows)
         .drop("n", "salt")
     )
 
 
-def _positioned(logs: DataFrame) -> DataFrame:
+def _positioned(logs: DataFrame, lookback_rows: int) -> DataFrame:
     """Rows and instants with errors, each with its position in time order.
 
     ``pos`` of a row is the number of rows before it; of an instant, the
@@ -74,7 +74,7 @@ def _positioned(logs: DataFrame) -> DataFrame:
         is_error(column_or_null(logs, "level")).alias("error"),
     )
     tick = F.shiftright(F.col("t"), 20)
-    kept = _latest_per_instant(rows.drop("error"))
+    kept = _latest_per_instant(rows.drop("error"), lookback_rows)
     errors = (
         rows.filter("error")
         .groupBy("t")
@@ -111,11 +111,11 @@ def _positioned(logs: DataFrame) -> DataFrame:
     )
 
 
-def _sliced(positioned: DataFrame, slice_rows: int) -> DataFrame:
-    """Cut by position; a slice also gets the 50 rows before it as history."""
+def _sliced(positioned: DataFrame, slice_rows: int, lookback_rows: int) -> DataFrame:
+    """Cut by position; a slice also gets the rows to look back at before it."""
     own = F.floor(F.col("pos") / slice_rows)
     reaches_on = (F.col("is_row") == 1) & (
-        F.col("pos") % slice_rows >= slice_rows - fv.LOOKBACK_ROWS
+        F.col("pos") % slice_rows >= slice_rows - lookback_rows
     )
     return positioned.withColumn(
         "slice", F.explode(F.when(reaches_on, F.array(own, own + 1)).otherwise(F.array(own)))
@@ -128,11 +128,15 @@ def mine_sequences(
     seq_len: int = 3,
     top_k: int = 15,
     slice_rows: int = SLICE_ROWS,
+    lookback_rows: int = fv.LOOKBACK_ROWS,
 ) -> DataFrame:
-    """The most frequent event sequences before errors: ``sequence``, ``count``."""
-    if slice_rows < fv.LOOKBACK_ROWS:
-        raise ValueError(f"slice_rows is at least {fv.LOOKBACK_ROWS}")
-    lengths = range(2, min(seq_len, fv.LOOKBACK_ROWS) + 1)
+    """The most frequent event sequences before errors: ``sequence``, ``count``.
+
+    An error sees the last ``lookback_rows`` rows before it of the window.
+    """
+    if slice_rows < lookback_rows:
+        raise ValueError(f"slice_rows is at least lookback_rows, {lookback_rows}")
+    lengths = range(2, min(seq_len, lookback_rows) + 1)
     by_pos = Window.partitionBy("slice").orderBy("pos")
     by_time = Window.partitionBy("slice").orderBy("t")
     start = Window.unboundedPreceding
@@ -144,11 +148,11 @@ def mine_sequences(
     in_time = F.coalesce(
         F.sum("errors").over(by_time.rangeBetween(start, window_minutes * 60_000_000)), F.lit(0)
     )
-    columns = {"until": F.least(errors_up_to(fv.LOOKBACK_ROWS), in_time)}
+    columns = {"until": F.least(errors_up_to(lookback_rows), in_time)}
     for k in range(1, max(lengths, default=0)):
         columns[f"token_{k}"] = F.max("token").over(by_pos.rangeBetween(k, k))
         columns[f"after_{k}"] = errors_up_to(k)
-    windowed = _sliced(_positioned(logs), slice_rows).withColumns(columns)
+    windowed = _sliced(_positioned(logs, lookback_rows), slice_rows, lookback_rows).withColumns(columns)
 
     # Errors that see the run are those up to `until` less those before its end.
     runs = [
