@@ -68,20 +68,23 @@ def page_rows(
     """Page ``page`` (from 1) of the log in the order of its records."""
     start, end = (page - 1) * size, page * size
     chunked = logs.withColumn("_chunk", F.shiftright("record_id", PAGE_CHUNK_BITS))
-    sizes = chunked.groupBy("source", "_chunk").agg(F.count(F.lit(1)).alias("_size"))
+    # The source as a result: a constant one stays a column to join by.
+    sizes = chunked.groupBy("source", "_chunk").agg(
+        F.max("source").alias("_of"), F.count(F.lit(1)).alias("_size")
+    )
     # One row per source, so one task totals them all; then a source's chunks.
     earlier = (
-        sizes.groupBy("source")
+        sizes.groupBy("_of")
         .agg(F.sum("_size").alias("_all"))
-        .withColumn("_earlier", F.sum("_all").over(Window.orderBy("source")) - F.col("_all"))
+        .withColumn("_earlier", F.sum("_all").over(Window.orderBy("_of")) - F.col("_all"))
         .filter((F.col("_earlier") < end) & (F.col("_earlier") + F.col("_all") > start))
-        .select(F.col("source").alias("_source"), "_earlier")
+        .select(F.col("_of").alias("_source"), "_earlier")
     )
-    in_order = Window.partitionBy("source").orderBy("_chunk")
+    in_order = Window.partitionBy("_of").orderBy("_chunk")
     running = F.col("_earlier") + F.sum("_size").over(in_order) - F.col("_size")
     wanted = (
         # A page has rows of at most ``size`` sources and chunks.
-        sizes.join(F.broadcast(earlier), F.col("source").eqNullSafe(F.col("_source")))
+        sizes.join(F.broadcast(earlier), F.col("_of").eqNullSafe(F.col("_source")))
         .withColumn("_before", running)
         .filter((F.col("_before") < end) & (F.col("_before") + F.col("_size") > start))
         .select("_source", F.col("_chunk").alias("_wanted"), "_before")

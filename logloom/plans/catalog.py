@@ -25,14 +25,14 @@ from ..operators.filters import (
     filter_values,
 )
 from ..operators.ordering import max_lines, page_rows
-from ..operators.parse import parse
+from ..operators.parse import parse, register_parser, unregister_parser
 from ..operators.phrases import top_error_phrases, top_phrases
 from ..operators.redact import add_redacted, redact_columns
 from ..operators.sequences import mine_sequences, sequence_text
 from ..sources.lines import lines_of_table, read_lines, read_windows_events, stream_lines
 from ..sources.sinks import read_csv_export, write_csv, write_json
 from ..streaming.jobs import stream_hourly, stream_logs, to_files, to_snapshot
-from .event_logs import LINES_PER_EVENT, document_lines, mixed_lines, rendered
+from .event_logs import LINES_PER_EVENT, base_events, document_lines, mixed_lines, rendered
 from .pipeline import logs_from_lines
 from .workspace import work_folder
 
@@ -142,6 +142,31 @@ def mixed_formats(spark, sf_dir):
     return logs.select(event.alias("event_id"), "format", "timestamp", "level", "module", "message")
 
 
+@query
+def registered_format(spark, sf_dir):
+    """A format of the caller's own, parsed by Columns: ``id|level|message``."""
+    base = base_events(spark, sf_dir).select(
+        F.lit("own.log").alias("source"),
+        F.col("event_id").alias("line_id"),
+        F.concat_ws("|", F.col("event_id").cast("string"), "level", "message").alias("value"),
+    )
+
+    def table(lines: DataFrame) -> DataFrame:
+        part = F.split("value", r"\|", 3)
+        return lines.select(
+            "source", F.col("line_id").alias("record_id"), part[1].alias("level"), part[2].alias("message"),
+            part[0].cast("bigint").alias("number"),
+        )
+
+    name = "own_pipes"
+    register_parser(name, table)
+    try:
+        logs = parse(base.withColumn("format", F.lit(name)), among=[name])
+    finally:
+        unregister_parser(name)
+    return logs.select(_event(), "format", "level", "message", "number")
+
+
 # --- enrichment --------------------------------------------------------------
 
 
@@ -419,6 +444,15 @@ def error_cluster_sizes(spark, sf_dir):
     return cluster_sizes(_document_clusters(spark, sf_dir))
 
 
+@query
+def error_cluster_texts(spark, sf_dir):
+    """Errors without their figures: ten texts that share no word, so each is a cluster."""
+    errors = parsed(spark, sf_dir).withColumn("message", F.substring_index("message", " latency=", 1))
+    clusters = cluster_errors(errors, n_clusters=10)
+    sizes = clusters.groupBy("cluster").agg(F.min("message").alias("text"), F.count(F.lit(1)).alias("errors"))
+    return sizes.select("text", "errors")
+
+
 @query
 def sequences(spark, sf_dir):
     """Look-back long enough that the limit of 50 rows takes effect."""

@@ -251,6 +251,7 @@ ORACLES: dict[str, str] = {
     "detect_format": _DETECTED,
     "assemble": _ASSEMBLED,
     "mixed_formats": _mixed(),
+    "registered_format": _base("event_id, 'own_pipes' AS format, level, message, event_id AS number"),
     "line_type": _base("event_id, line_type"),
     "http_fields": _base(f"event_id, {_METHOD} AS request_type, {_PATH} AS request_path"),
     "status_code": _base(f"event_id, {_STATUS} AS status_code"),
@@ -354,6 +355,9 @@ ORACLES: dict[str, str] = {
     "document_phrases": _phrases(
         "texts AS (SELECT text FROM documents)", r"[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}", 100
     ),
+    "error_cluster_texts": _base(
+        "string_split(message, ' latency=')[1] AS text, count(*) AS errors", "WHERE level = 'ERROR' GROUP BY 1"
+    ),
     "sequences": _sequences(360, 3, 100),
     "sequences_short": _sequences(60, 4, 100),
     "page_of_rows": _base(

@@ -157,6 +157,29 @@ def test_windows_event_files(spark, tmp_path, joint):
     assert logs.filter("module = 'Own-Provider' AND message = 'first line'").count() == 40
 
 
+@pytest.mark.parametrize("kept", [0.2, 0.5, 0.97])
+def test_event_cut_off_by_the_end_of_its_file(spark, tmp_path, kept):
+    """By name, by detection and by lines: only what is finished, also across blocks."""
+    text = "<Events>\n" + "\n".join(EVENT.replace("first", f"e{i} first") for i in range(40)) + "\n"
+    (tmp_path / "a.xml").write_text(text + EVENT[: int(len(EVENT) * kept)])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "500")
+        named = L.load_logs(spark, str(tmp_path), "windows_event_xml", enrich=False)
+        others = [
+            L.load_logs(spark, str(tmp_path), enrich=False),
+            L.load_logs(spark, str(tmp_path), "windows_event_xml", enrich=False, max_lines=10**6),
+        ]
+        wanted = {f"e{i} first line" for i in range(40)}
+        for logs in (named, *others):
+            messages = [r["message"] for r in logs.collect()]
+            assert len(messages) == 40 and set(messages) == wanted
+    finally:
+        for key, size in old.items():
+            spark.conf.set(key, size)
+
+
 def test_modjk_workers_fallback_and_layouts(lines):
     texts = [
         "[Sun Mar 02 07:15:14 2025] [notice] workerEnv.init() ok /etc/conf/w2.properties",

@@ -230,3 +230,21 @@ def test_worker_summary(spark, lines):
     assert [tuple(r) for r in states.collect()] == [("6", 2)]
     assert [r["config_file"] for r in files.collect()] == ["/etc/w.properties"]
     assert [(r["child_pid"], r["slot"]) for r in slots.collect()] == [("12", "3")]
+
+
+def test_hours_with_one_wrong_date(spark):
+    """A gap of decades is filled hour by hour, in small arrays."""
+    rows = [(datetime(1990, 1, 1, 5, 30), "INFO"), (datetime(2025, 3, 2, 7, 0), "ERROR")]
+    got = L.hourly_counts(spark.createDataFrame(rows, "timestamp timestamp, level string"))
+    hours = int((datetime(2025, 3, 2, 7) - datetime(1990, 1, 1, 5)).total_seconds() // 3600) + 1
+    assert got.count() == got.select("timestamp").distinct().count() == hours
+    assert sorted((r["timestamp"].year, r["count"], r["errors"]) for r in got.filter("count > 0").collect()) == [
+        (1990, 1, 0), (2025, 1, 1)]
+
+
+def test_words_beyond_the_vocabulary_take_no_part(spark):
+    rows = [("ERROR", "alpha beta")] * 3 + [("ERROR", "gamma delta")] * 2
+    logs = spark.createDataFrame(rows, "level string, message string")
+    got = {r["message"]: r["cluster"] for r in L.cluster_errors(logs, 2, max_features=4).collect()}
+    assert got["alpha beta"] != got["gamma delta"]
+    assert L.cluster_errors(logs, 2, max_features=2).count() == 5

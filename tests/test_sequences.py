@@ -12,7 +12,7 @@ SCHEMA = "timestamp timestamp, source string, record_id bigint, level string, li
 START = datetime(2025, 3, 2, 7)
 
 
-def direct(rows, minutes, seq_len):
+def direct(rows, minutes, seq_len, lookback=50):
     # All of one source, so that number alone orders rows of one instant.
     rows = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[2]))
     counts = Counter()
@@ -20,7 +20,7 @@ def direct(rows, minutes, seq_len):
         if (error[3] or "").upper() != "ERROR":
             continue
         since = error[0] - timedelta(minutes=minutes)
-        tokens = [f"{r[4] or 'NA'}:{r[5] or 'NA'}" for r in rows if since <= r[0] < error[0]][-50:]
+        tokens = [f"{r[4] or 'NA'}:{r[5] or 'NA'}" for r in rows if since <= r[0] < error[0]][-lookback:]
         for n in range(2, seq_len + 1):
             counts.update(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
     return dict(counts)
@@ -48,6 +48,17 @@ def test_against_direct_count(spark, seed, step, share):
         assert mined(df, window_minutes=5, seq_len=4, slice_rows=slice_rows) == direct(rows, 5, 4)
 
 
+@pytest.mark.parametrize("lookback", [1, 7])
+def test_other_look_backs(spark, lookback):
+    rng = random.Random(lookback)
+    rows = [
+        (START + timedelta(seconds=i // 3), "s", i, rng.choice(["ERROR", "INFO", "INFO"]), rng.choice("ab"), "m")
+        for i in range(300)
+    ]
+    got = mined(spark.createDataFrame(rows, SCHEMA).repartition(3), lookback_rows=lookback, slice_rows=16)
+    assert got == direct(rows, 5, 3, lookback)
+
+
 def test_one_instant_holds_most_rows(spark):
     """An instant far larger than the limit leaves only its last 50 rows in a history."""
     rows = [(START, "s", i, "INFO", "OTHER", f"m{i % 7}") for i in range(3000)]
