@@ -31,7 +31,7 @@ from ..operators.redact import add_redacted, redact_columns
 from ..operators.sequences import mine_sequences, sequence_text
 from ..sources.lines import lines_of_table, read_lines, read_windows_events, stream_lines
 from ..sources.sinks import read_csv_export, write_csv, write_json
-from ..streaming.jobs import stream_hourly, stream_logs, to_files, to_snapshot
+from ..streaming.jobs import read_snapshot, stream_hourly, stream_logs, to_files, to_snapshot
 from .event_logs import LINES_PER_EVENT, base_events, document_lines, mixed_lines, rendered
 from .pipeline import logs_from_lines
 from .workspace import work_folder
@@ -528,4 +528,4 @@ def stream_hourly_counts(spark, sf_dir):
         availableNow=True
     )
     job.start().awaitTermination()
-    return spark.read.parquet(f"{folder}-out")
+    return read_snapshot(spark, f"{folder}-out")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import logloom as L
 from logloom.sources.sinks import read_csv_export
-from logloom.streaming.jobs import to_files, to_snapshot
+from logloom.streaming.jobs import read_snapshot, to_files, to_snapshot
 
 ODD = ['say "hi", ok', "  edges  ", "two\nlines", "back\\slash", "ünï", "a,b;c", None, "mail k9@mail.example"]
 
@@ -70,5 +70,5 @@ def test_stream_of_files(spark, tmp_path):
     assert logs.count() == 5
     assert logs.filter("redacted_message LIKE 'from <email>%' AND line_type = 'OTHER'").count() == 5
     assert sorted(r["response_time_ms"] for r in logs.collect()) == [60.0, 61.0, 62.0, 130.0, 200.0]
-    hours = spark.read.parquet(str(tmp_path / "hours")).orderBy("timestamp").collect()
+    hours = read_snapshot(spark, str(tmp_path / "hours")).orderBy("timestamp").collect()
     assert [(r["timestamp"].hour, r["count"], r["errors"]) for r in hours] == [(1, 3, 3), (2, 1, 1), (3, 1, 1)]
