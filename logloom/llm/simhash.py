@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
@@ -51,7 +51,8 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
                 [batch.column(0), pa.array(bits, pa.int64())], names=["doc_id", "bits"]
             )
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, bits long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, bits long")
 
 
 def _forest(members: np.ndarray, distance: int) -> Iterator[tuple[np.uint64, np.uint64]]:
@@ -142,16 +143,31 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     )
 
 
+def row_key(docs: DataFrame) -> Column:
+    """What tells rows of one id apart: the text and all columns."""
+    return F.xxhash64(whole_text(), *docs.columns)
+
+
+def one_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each ``group`` of ``groups`` the row of the least ``first`` (last,
+    doc_id, row); rows that are equal in all columns are one row."""
+    least = groups.groupBy("group").agg(F.min("first").alias("first"))
+    kept = least.select(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_kept"))
+    rows = docs.withColumn("_row", row_key(docs))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_kept"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_row"]).drop("_row")
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """The documents with one of each group of near duplicates, that of the smallest id.
 
-    Rows of one id are copies of one document: one of them stays.
+    Rows without an id, or of one id, are judged by their texts like any other;
+    missing ids come last.
     """
-    kept = (
-        near_duplicates(docs, width, distance)
-        .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("_kept"))
-        .distinct()
+    read = docs.select(
+        F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row_key(docs).alias("row")).alias("doc_id"), "text"
     )
-    single = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return single.dropDuplicates(["doc_id"])
+    marked = saved(fingerprints(read, width), "fingerprints")
+    roots = components(links(marked.select("bits").distinct(), distance))
+    rooted = marked.join(roots, marked["bits"] == roots["node"], "left")
+    return one_each(docs, rooted.select(F.coalesce("root", "bits").alias("group"), F.col("doc_id").alias("first")))

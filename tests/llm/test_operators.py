@@ -227,6 +227,18 @@ def test_simhash_links_random_balls(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, own.values()))
 
 
+@pytest.mark.parametrize("drop", [simhash.drop_near_duplicates])
+def test_rows_without_an_id_of_their_own(spark, drop):
+    """Missing and shared ids: every text stays once."""
+    texts = [" ".join(f"t{i}w{k}" for k in range(30)) for i in range(7)]
+    rows = [(None, texts[0], "a"), (None, texts[1], "a"), (None, texts[1], "b"), (1, texts[2], "a"), (1, texts[3], "a"),
+            (1, texts[4], "a"), (0, texts[4], "a"), (2, texts[5], "a"), (2, texts[5], "a"), (None, texts[5], "a"),
+            (None, texts[6], None), (None, texts[6], None)]
+    got = drop(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert Counter(r.text for r in got) == Counter(texts)
+    assert {(r.doc_id, texts.index(r.text)) for r in got} == {(None, 0), (None, 1), (1, 2), (1, 3), (0, 4), (2, 5), (None, 6)}
+
+
 @pytest.mark.parametrize("hot", [10**9, 1])
 def test_covered_bytes(spark, odd, hot, monkeypatch):
     monkeypatch.setattr(substring_suffix, "_BATCH", 2048)
