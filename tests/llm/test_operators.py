@@ -23,6 +23,7 @@ from logloom.llm import (
     quality_rules,
     queries,
     simhash,
+    similar,
     substring_suffix,
     token_counts,
     topk,
@@ -227,7 +228,46 @@ def test_simhash_links_random_balls(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, own.values()))
 
 
-@pytest.mark.parametrize("drop", [simhash.drop_near_duplicates])
+def brute_groups(texts: list[str]) -> list[set[int]]:
+    """Places of texts that pairs of 0.8 or more in their 5-word shingles join."""
+    sets = []
+    for text in texts:
+        words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text)]
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set()))
+    groups: list[set[int]] = []
+    for i, own in enumerate(sets):
+        near = [g for g in groups if any(sets[j] == own or 5 * len(own & sets[j]) >= 4 * len(own | sets[j]) > 0 for j in g)]
+        groups = [g for g in groups if g not in near] + [set().union({i}, *near)]
+    return groups
+
+
+def test_similar_documents(spark, odd, empty):
+    """Against exact similarity: pairs that are far apart in bits, groups around one text, chains."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for changes in (0, 1, 2, 3, 4, 5, 6):
+        for _ in range(6):
+            base = [word() for _ in range(120)]
+            texts.append(" ".join(base))
+            for _ in range(3):
+                base = list(base) if changes < 4 else base
+                for at in rng.sample(range(120), changes):
+                    base[at] = word()
+                texts.append(" ".join(base))
+    base = [word() for _ in range(100)]
+    texts += [" ".join(base[:k] + [word()] + base[k + 1 :]) for k in range(0, 100, 2) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = sorted(min(g) for g in brute_groups(texts))
+    assert [r.doc_id for r in similar.drop_similar(docs).orderBy("doc_id").collect()] == want
+    marks = roots([brute_fingerprint(t) for t in texts])
+    assert len(want) < len(set(marks.values()))
+    kept = similar.drop_similar(odd)
+    assert kept.columns == odd.columns and kept.count() == len(brute_groups([t for _, t in texts_of(odd)]))
+    assert similar.drop_similar(empty).count() == 0
+
+
+@pytest.mark.parametrize("drop", [simhash.drop_near_duplicates, similar.drop_similar])
 def test_rows_without_an_id_of_their_own(spark, drop):
     """Missing and shared ids: every text stays once."""
     texts = [" ".join(f"t{i}w{k}" for k in range(30)) for i in range(7)]
