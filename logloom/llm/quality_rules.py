@@ -1,14 +1,21 @@
 """Quality rules whose cutoffs are certified to reject few good documents.
 
 Every rule is a share in thousandths with a ladder of cutoffs, from lenient to
-strict. On labelled documents held out for it, a cutoff's false rejections in a
-stratum are a binomial count, and the cutoff holds if so few would be seen with
-probability ``delta`` at most were the true rate above ``alpha`` (the exact
-one-sided bound of Clopper and Pearson). Both levels are shared out: ``delta``
-over all ladders of all strata, so that all statements hold together, and
-``alpha`` over the rules, so that a good document is lost to any of them with
-probability ``alpha`` at most. Within a ladder the tests stop at the first that
-fails, which needs no further share.
+strict. What is tested is the joint verdict of a set of rules, on one ladder per
+set and stratum: at a step each rule of the set has the strictest of its cutoffs
+up to there that catches a labelled bad document of the stratum the one before
+doesn't, or none. Bad documents alone make the ladders, so good ones are held
+out for them: on them the false rejections of a step are a binomial count, and
+the step holds if so few would be seen with probability ``delta`` at most were
+the true rate above ``alpha`` (the exact one-sided bound of Clopper and
+Pearson). ``delta`` is shared out over the strata that have ladders and over
+their sets: half to the set of all rules, a quarter to those of one rule, a
+quarter to the others, so that all statements hold together. ``alpha`` is for the
+rules together. Within a ladder the tests stop at the first that fails, which
+needs no further share. With four strata a step without false rejections holds
+for all rules from 99 good labels on, for one rule from 151 on, for any set from
+206 on; a stratum with fewer has the base rule only, which the column
+``certified`` tells.
 """
 
 from __future__ import annotations
@@ -124,111 +131,150 @@ def holds(rejected: int, total: int, alpha: float, delta: float) -> bool:
     return most + math.log(math.fsum(math.exp(x - most) for x in log)) <= math.log(delta)
 
 
-@dataclass(frozen=True)
-class Cutoffs:
-    """``strata`` have cutoffs of their own, all others share those of None."""
-
-    strata: tuple[str, ...]
-    chosen: dict[tuple[str | None, str], int]
-
-    def rejected(self, stratum: str) -> Column:
-        """Whether any rule with a certified cutoff rejects the row."""
-        result = F.lit(False)
-        for rule in RULES:
-            case = F
-            for name in self.strata:
-                if cutoff := self.chosen.get((name, rule.name)):
-                    case = case.when(F.col(stratum) == name, exceeds(rule, cutoff))
-                else:
-                    case = case.when(F.col(stratum) == name, F.lit(False))
-            rest = self.chosen.get((None, rule.name))
-            rest = exceeds(rule, rest) if rest else F.lit(False)
-            result = result | F.coalesce(rest if case is F else case.otherwise(rest), F.lit(False))
-        return result
-
-
 def certify(
-    measured: DataFrame,
-    labels: DataFrame,
-    stratum: str,
-    alpha: float = 0.05,
-    delta: float = 0.05,
-    max_strata: int = 32,
-) -> Cutoffs:
-    """Cutoffs for the documents of ``measured``, from ``labels`` (doc_id, quality).
+    measured: DataFrame, labels: DataFrame, stratum: str, alpha: float = 0.05, delta: float = 0.05
+) -> DataFrame:
+    """``_stratum`` and ``_cutoffs``, one per rule or none, of each stratum with a
+    certified step, for the documents of ``measured`` by ``labels`` (doc_id, quality).
 
     All labels count; a document with several is good only if all say so, and
-    a label without a quality or a document is none. The ``max_strata`` strata
-    with the most labels (ties: the smaller name) get cutoffs of their own, the
-    others and missing ones are one stratum together. To the driver come only
-    counts: strata x rules x cutoffs x 2 at most. Of the certified cutoffs of a
-    ladder the one of most gain is taken (ties: the most lenient): bad documents
+    a label without a quality or a document is none. Documents without a stratum
+    are one together. Every stratum with labels of both kinds has its test, and
+    all is counted and chosen in tables with a row per stratum. Of the certified
+    steps the one of most gain is taken (ties: fewer rules, the more lenient): bad documents
     rejected less good ones, of which each weighs as many as there are good for
-    a bad one. Where none has a gain the rule stays off.
+    a bad one. Where none has a gain the rules stay off.
     """
     quality = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    held = measured.join(quality, "doc_id").filter(~base_failed())
+    # Per rule the first step whose cutoff a document exceeds, behind the last for none.
+    firsts = [
+        sum(((~exceeds(rule, c)).cast("int") for c in rule.cutoffs), F.lit(0)) for rule in RULES
+    ]
+    held = saved(
+        measured.join(quality, "doc_id")
+        .filter(~base_failed())
+        .select(F.col(stratum).alias("_stratum"), (F.col("_quality") > 0).alias("good"), F.array(*firsts).alias("firsts")),
+        "held",
+    )
     steps = [
-        F.struct(F.lit(i).alias("rule"), sum((exceeds(rule, c).cast("int") for c in rule.cutoffs), F.lit(0)).alias("level"))
+        F.array_sort(F.collect_set(F.when(F.col("firsts")[i] < len(rule.cutoffs), F.col("firsts")[i]))).alias(f"r{i}")
         for i, rule in enumerate(RULES)
     ]
+    ladders = held.filter("NOT good").groupBy("_stratum").agg(*steps)
+    ladders = saved(ladders.select("_stratum", F.array(*(f"r{i}" for i in range(len(RULES)))).alias("steps")), "ladders")
+    tests = max(1, ladders.count())
+
+    named = ladders.withColumnRenamed("_stratum", "_name")
+    there = F.zip_with("steps", "firsts", lambda taken, first: F.array_min(F.filter(taken, lambda step: step >= first)))
+    placed = held.join(named, F.col("_stratum").eqNullSafe(F.col("_name"))).select("_stratum", "good", there.alias("at"))
+    # A set's number has a bit per rule. What no set rejects is counted too.
+    joint = [
+        F.struct(F.lit(number).alias("rules"), F.array_min(F.array(*(F.get("at", F.lit(i)) for i in chosen))).alias("step"))
+        for number in range(1, 1 << len(RULES))
+        if (chosen := _rules_of(number))
+    ]
     counted = (
-        held.select(
-            F.col(stratum).alias("_stratum"),
-            (F.col("_quality") > 0).alias("good"),
-            F.explode(F.array(*steps)).alias("step"),
-        )
-        .groupBy("_stratum", "good", "step.rule", "step.level")
+        saved(placed, "first-steps")
+        .groupBy("_stratum", "good", "at")
         .agg(F.count(F.lit(1)).alias("n"))
+        .select("_stratum", "good", "n", F.explode(F.array(*joint)).alias("joint"))
+        .groupBy("_stratum", "good", "joint.rules", "joint.step")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("_stratum")
+        .agg(F.collect_list(F.struct("rules", "good", "step", "n")).alias("counts"))
+    )
+    kind = measured.schema[stratum].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = [_best_step(counts, alpha, delta / tests) for counts in batch.column(1).to_pylist()]
+            rules, steps = (pa.array([b and b[k] for b in best], pa.int32()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), rules, steps], names=["_stratum", "rules", "step"])
+
+    best = counted.mapInArrow(run, f"_stratum {kind}, rules int, step int").filter("step IS NOT NULL")
+    cutoffs = [
+        F.when(
+            F.col("rules").bitwiseAND(F.lit(1 << i)) > 0,
+            F.get(
+                F.array(*map(F.lit, rule.cutoffs)),
+                F.array_max(F.filter(F.get("steps", F.lit(i)), lambda taken: taken <= F.col("step"))),
+            ),
+        )
+        for i, rule in enumerate(RULES)
+    ]
+    return saved(
+        best.join(named, F.col("_stratum").eqNullSafe(F.col("_name"))).select("_stratum", F.array(*cutoffs).alias("_cutoffs")),
+        "cutoffs",
+    )
+
+
+def _rules_of(number: int) -> list[int]:
+    return [i for i in range(len(RULES)) if number >> i & 1]
+
+
+def _share(rules: int) -> float:
+    """The part of ``delta`` that a ladder with so many rules has."""
+    if rules == len(RULES):
+        return 1 / 2
+    return 1 / (4 * len(RULES)) if rules == 1 else 1 / (4 * (2 ** len(RULES) - len(RULES) - 2))
+
+
+def _best_step(counts: list[dict], alpha: float, delta: float) -> tuple[int, int] | None:
+    """The set of rules and the step of most gain among those that hold, from the
+    numbers of good and bad documents by the first step that rejects them, if any."""
+    rows: dict[tuple[int, bool], Counter] = {}
+    for c in counts:
+        rows.setdefault((c["rules"], c["good"]), Counter())[c["step"]] += c["n"]
+    most, best = 0, None
+    for number in sorted({c["rules"] for c in counts}, key=lambda n: (n.bit_count(), n)):
+        good, bad = (rows.get((number, kind), Counter()) for kind in (True, False))
+        level = delta * _share(number.bit_count())
+        lost = caught = 0
+        held: dict[int, bool] = {}
+        for step in range(max(len(rule.cutoffs) for rule in RULES)):
+            lost, caught = lost + good[step], caught + bad[step]
+            if lost not in held:
+                held[lost] = holds(lost, good.total(), alpha, level)
+            if not held[lost]:
+                break
+            gain = caught * bad.total() - lost * good.total()
+            if gain > most:
+                most, best = gain, (number, step)
+    return best
+
+
+def _judged(measured: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
+    """The rows with ``base_failed``, ``kept`` and ``certified``, whether their stratum has cutoffs."""
+    rejected = F.lit(False)
+    for i, rule in enumerate(RULES):
+        rejected = rejected | F.coalesce(exceeds(rule, F.get("_cutoffs", F.lit(i))), F.lit(False))
+    return (
+        measured.join(cutoffs, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+        .withColumn("base_failed", base_failed())
+        .withColumn("kept", ~F.col("base_failed") & ~rejected)
+        .withColumn("certified", F.col("_cutoffs").isNotNull())
+        .drop("_stratum", "_cutoffs")
     )
-    counted = saved(counted, "rule-counts")
-    named = counted.filter(F.col("_stratum").isNotNull()).groupBy("_stratum").agg(F.sum("n").alias("n"))
-    strata = tuple(r[0] for r in named.orderBy(F.desc("n"), "_stratum").limit(max_strata).collect())
-    own = F.when(F.col("_stratum").isin(*strata), F.col("_stratum")) if strata else F.lit(None).cast("string")
-    pooled = counted.groupBy(own.alias("_stratum"), "good", "rule", "level").agg(F.sum("n").alias("n"))
-    levels = {(r["_stratum"], r["good"], r["rule"], r["level"]): r["n"] for r in pooled.collect()}
-
-    chosen = {}
-    tests = len(RULES) * (len(strata) + 1)
-    for name in (*strata, None):
-        for i, rule in enumerate(RULES):
-            # A row of level n exceeds the n strictest cutoffs.
-            good, bad = (
-                [levels.get((name, kind, i, n), 0) for n in range(len(rule.cutoffs) + 1)] for kind in (True, False)
-            )
-            best = 0
-            for k, cutoff in enumerate(rule.cutoffs):
-                least = len(rule.cutoffs) - k
-                lost, caught = sum(good[least:]), sum(bad[least:])
-                if not holds(lost, sum(good), alpha / len(RULES), delta / tests):
-                    break
-                gain = caught * sum(bad) - lost * sum(good)
-                if gain > best:
-                    best = gain
-                    chosen[name, rule.name] = cutoff
-    return Cutoffs(strata, chosen)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **levels) -> DataFrame:
-    """``doc_id``, the stratum, the counts, ``base_failed`` and ``kept``, a row per document.
+    """``doc_id``, the stratum, the counts, ``base_failed``, ``kept`` and
+    ``certified`` (whether the stratum has cutoffs), a row per document.
 
     A missing text has no words and fails. Texts are read once; the counts are
     written to shared storage between fitting and deciding.
     """
     measured = saved(features(docs, "doc_id", stratum), "quality")
-    cutoffs = certify(measured, labels, stratum, **levels)
-    return measured.withColumn("base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & ~cutoffs.rejected(stratum)
-    )
+    return _judged(measured, certify(measured, labels, stratum, **levels), stratum)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **levels) -> DataFrame:
     """The documents that :func:`quality_rules` keeps, with their columns.
 
-    Texts are read twice and never shuffled: once to fit, once to decide.
+    Texts are read twice and never shuffled while the table of cutoffs can be
+    broadcast: once to fit, once to decide.
     """
-    measured = features(docs, "doc_id", stratum)
-    cutoffs = certify(measured, labels, stratum, **levels)
+    cutoffs = certify(features(docs, "doc_id", stratum), labels, stratum, **levels)
     columns = docs.columns
     again = features(docs.withColumn("text", whole_text()), *columns)
-    return again.filter(~base_failed() & ~cutoffs.rejected(stratum)).select(*columns)
+    return _judged(again, cutoffs, stratum).filter("kept").select(*columns)

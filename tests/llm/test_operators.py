@@ -111,6 +111,31 @@ def test_certified_cutoffs_reject_few_good_ones(spark):
     assert {r.doc_id for r in got} == set(range(5000, 5200))
 
 
+def test_small_strata_are_certified(spark):
+    """A few hundred good labels do for a stratum, and every one of 36 has a bound of its own."""
+    names = [f"l{i:02d}" for i in range(36)]
+    prose = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    rows, labels = [], []
+    for at, name in enumerate(names):
+        for i in range(205):
+            key, good = 1000 * at + i, i < 190
+            # Good documents of the last stratum look like bad ones of the others.
+            marked = not good or name == "l35"
+            rows.append((key, " ".join(f"{w}###" for w in prose(key).split()) if marked else prose(key), name))
+            labels.append((key, int(good)))
+    rows += [(10**6, prose(-1), "none"), (10**6 + 1, prose(-2), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality_rules.quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert {r.lang for r in got if r.certified} == set(names[:-1])
+    gone = {key for key, good in labels if not good and key < 35000}
+    assert {r.doc_id for r in got if not r.kept} == gone
+
+
+def test_shares_of_delta_add_up():
+    sizes = Counter(n.bit_count() for n in range(1, 1 << len(quality_rules.RULES)))
+    assert abs(sum(n * quality_rules._share(k) for k, n in sizes.items()) - 1) < 1e-12
+
+
 def test_token_counts(odd, empty):
     from sentencepiece import SentencePieceProcessor
     from tokenizers import Tokenizer
