@@ -460,6 +460,32 @@ def test_mixing(odd, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
 
 
+def test_mixing_small_sources(spark):
+    """At the block of the query each source has its target to the word, and the
+    slots of the schedule take the same words."""
+    rows = [(i, " ".join(["w"] * 20), f"s{i:04d}") for i in range(300)] + [(300, " ".join(["w"] * 130), "t")]
+    rows += [(1000 + i, " ".join(["w"] * 500), "z") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    assert all(abs(taken[r.source] - r.target) <= 0.5 for r in got) and min(taken.values()) > 0
+    sized = docs.select(F.concat(F.lit("="), "source").alias("key"), mixing.word_count().alias("size"))
+    shares = mixing.sources(sized)
+    slots = mixing.schedule(shares, -(-3 * sum(r.size for r in got) // 256), 128).collect()
+    spans = defaultdict(list)
+    for s in slots:
+        spans[s.key[1:]].append((s.start, s.end))
+        assert s.end - s.start == 128 or s.end == round(taken[s.key[1:]]) or s.slot * 256 >= 3 * sum(r.size for r in got)
+    for source, parts in spans.items():
+        parts.sort()
+        assert parts[0][0] == 0 and parts[-1][1] == taken[source]
+        assert all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+    assert set(spans) == set(taken)
+
+
 # --- registered queries -------------------------------------------------------
 
 
