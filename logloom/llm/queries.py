@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.workspace import work_folder
-from . import arc_warc, line_dedup, mixing, packing, pii, quality_rules, simhash, substring_suffix, token_counts, topk
+from . import (
+    arc_warc,
+    language_id,
+    line_dedup,
+    mixing,
+    packing,
+    periodic_runs,
+    pii,
+    quality_rules,
+    simhash,
+    substring_suffix,
+    token_counts,
+    topk,
+    vector_codes,
+)
 from .common import read_table
 
 
@@ -64,6 +78,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.collapse_runs(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_warc,
         op10_mixing,
+        op11_language_id,
+        op12_vector_codes,
+        op13_periodic_runs,
     )
 }
 ORACLES: dict[str, str] = {
