@@ -145,17 +145,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
 
 def row_key(docs: DataFrame) -> Column:
     """What tells rows of one id apart: the text and all columns."""
-    return F.xxhash64(whole_text(), *docs.columns)
+    return F.xxhash64(whole_text(), *(F.col(f"`{name}`") for name in docs.columns))
 
 
 def one_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """Of each ``group`` of ``groups`` the row of the least ``first`` (last,
-    doc_id, row); rows that are equal in all columns are one row."""
+    doc_id, row); rows that are equal in all columns are one row. Columns keep
+    their values, whatever their names."""
     least = groups.groupBy("group").agg(F.min("first").alias("first"))
     kept = least.select(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_kept"))
-    rows = docs.withColumn("_row", row_key(docs))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_kept"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_row"]).drop("_row")
+    rows = docs.select(F.struct("*").alias("doc"), row_key(docs).alias("row"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_kept"))
+    chosen = rows.join(kept, same, "left_semi").select("doc", "row", F.col("doc.doc_id").alias("id"))
+    return chosen.dropDuplicates(["id", "row"]).select("doc.*")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:

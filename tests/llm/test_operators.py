@@ -461,8 +461,7 @@ def test_mixing(odd, empty):
 
 
 def test_mixing_small_sources(spark):
-    """At the block of the query each source has its target to the word, and the
-    slots of the schedule take the same words."""
+    """At the block of the query each source has its target to the word."""
     rows = [(i, " ".join(["w"] * 20), f"s{i:04d}") for i in range(300)] + [(300, " ".join(["w"] * 130), "t")]
     rows += [(1000 + i, " ".join(["w"] * 500), "z") for i in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -472,18 +471,102 @@ def test_mixing_small_sources(spark):
         taken[r.source] += r.taken
         assert 0 <= r.taken <= 2 * r.size
     assert all(abs(taken[r.source] - r.target) <= 0.5 for r in got) and min(taken.values()) > 0
-    sized = docs.select(F.concat(F.lit("="), "source").alias("key"), mixing.word_count().alias("size"))
+
+
+def brute_takes(docs: list[tuple], shares: dict, block: int, golden: float, order: list[int]) -> dict[int, int]:
+    """Words taken per row number: the slots dealt one after another, word by word."""
+    words = sum(s["goal"] for s in shares.values())
+    places, count, taken = {}, Counter(), Counter()
+    for slot in range(-(-words // block)):
+        point = (slot + 0.5) * golden % 1.0
+        for key, s in shares.items():
+            if s["low"] <= point < s["high"]:
+                places.setdefault(key, (point - s["low"]) / (s["high"] - s["low"]))
+                count[key] += 1
+    for key, s in shares.items():
+        stream = [(i, w) for i in order if docs[i][0] == key for w in range(docs[i][1])]
+        if not stream:
+            continue
+        at = int(places.get(key, 0.0) * len(stream))
+        first = next(k for k in range(at, -1, -1) if stream[k][1] == 0)
+        for k in range(s["goal"]):  # dealt slots, cut or followed by what settles the rest
+            taken[stream[(first + k) % len(stream)][0]] += 1
+    return taken
+
+
+@pytest.mark.parametrize("golden", [0.6180339887498949, 0.41421356237309515])
+def test_mixing_takes_what_its_slots_take(spark, golden, monkeypatch):
+    """Per document against the schedule dealt word by word; other points, another mix."""
+    monkeypatch.setattr(mixing, "_GOLDEN", golden)
+    rng = random.Random(11)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choice("aabcd")) for i in range(300)]
+    rows += [(400 + i, "x y", f"s{i}") for i in range(12)] + [(500, "w " * 3000, "a"), (501, None, "e"), (502, "w", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = mixing._sized(docs, 42)
     shares = mixing.sources(sized)
-    slots = mixing.schedule(shares, -(-3 * sum(r.size for r in got) // 256), 128).collect()
-    spans = defaultdict(list)
-    for s in slots:
-        spans[s.key[1:]].append((s.start, s.end))
-        assert s.end - s.start == 128 or s.end == round(taken[s.key[1:]]) or s.slot * 256 >= 3 * sum(r.size for r in got)
-    for source, parts in spans.items():
-        parts.sort()
-        assert parts[0][0] == 0 and parts[-1][1] == taken[source]
-        assert all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
-    assert set(spans) == set(taken)
+    share = {r["key"]: r.asDict() | {"goal": round(r["target"])} for r in shares.withColumn("target", mixing.goal()).collect()}
+    placed = mixing._placed(sized, shares).collect()
+    table = [(r["key"], r["size"]) for r in placed]
+    order = sorted(range(len(table)), key=lambda i: (placed[i]["start"], -placed[i]["size"]))
+    want = brute_takes(table, share, 16, golden, order)
+    got = {r.doc_id: r for r in mixing.mix(docs, block=16).collect()}
+    assert {placed[i]["doc_id"]: want[i] for i in range(len(table))} == {i: r.taken for i, r in got.items()}
+    monkeypatch.setattr(mixing, "_GOLDEN", 0.7320508075688772)
+    other = {r.doc_id: r.taken for r in mixing.mix(docs, block=16).collect()}
+    assert other != {i: r.taken for i, r in got.items()} and sum(other.values()) == sum(r.taken for r in got.values())
+
+
+def test_mixed_documents_stand_in_the_order_of_slots(spark):
+    rows = [(i, " ".join([f"w{i}"] * 40), "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    slot = {r.doc_id: r.slot for r in mixing.mix(docs).collect()}
+    seen: dict[int, int] = {}
+    for place, r in enumerate(mixing.mix_documents(docs).collect()):
+        seen.setdefault(r.doc_id, place)
+    order = [slot[i] for i in sorted(seen, key=seen.get)]
+    assert order == sorted(order) and set(seen) == {i for i, s in slot.items() if s is not None}
+    # Both sources run through the whole mix.
+    half = [i % 2 for i in sorted(seen, key=seen.get)[: len(seen) // 2]]
+    assert 0.25 < sum(half) / len(half) < 0.75
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Values of columns that operators use themselves come out as they came in."""
+    names = ["spans", "base", "copy", "kept", "n_words", "size", "taken", "_row", "_id", "_number", "row", "_stratum",
+             "_cutoffs", "base_failed", "doc", "slot", "number", "order", "key", "n", "_of", "_doc", "_kept", "more"]
+    rows = [(i, f"t{i} " + " ".join(f"w{i}x{k}" for k in range(30)) + (f" me{i}@ex.org" if i % 2 else ""), "en", "s",
+             *(f"{n}{i}" for n in names)) for i in range(40)]
+    schema = ", ".join(["doc_id long", "text string", "lang string", "source string", *(f"{n} string" for n in names)])
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    for stage in (
+        lambda d: quality_rules.quality_filter(d, labels), similar.drop_similar, simhash.drop_near_duplicates,
+        pii.mask_documents, mixing.mix_documents,
+    ):
+        after = stage(docs)
+        assert after.columns == docs.columns
+        got = after.collect()
+        assert len({r.doc_id for r in got}) >= 38
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+
+
+@pytest.mark.parametrize("tile", [1 << 17, 600])
+def test_groups_without_all_pairs(spark, tile, monkeypatch):
+    """Many texts near one text and far from each other, in several tiles."""
+    monkeypatch.setattr(similar, "_TILE", tile)
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(100)]
+    texts = [" ".join(base)]
+    for _ in range(150):
+        own = list(base)
+        at = rng.randrange(2, 94)
+        own[at : at + 4] = [f"x{rng.randrange(10**6)}" for _ in range(4)]
+        texts.append(" ".join(own))
+    texts += [" ".join(base[:50] + [f"y{i}z{k}" for k in range(50)]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = sorted(min(g) for g in brute_groups(texts))
+    assert len(want) == 41
+    assert [r.doc_id for r in similar.drop_similar(docs).orderBy("doc_id").collect()] == want
 
 
 # --- registered queries -------------------------------------------------------
@@ -507,12 +590,9 @@ def test_pipeline(spark):
             words = F.size(F.regexp_extract_all("text", F.lit(WORD.pattern), F.lit(0)))
             assert after.count() < docs.count() and after.filter(words < 10).count() == 0
         if name == "near_dedup":
-            marks = [(i, brute_fingerprint(t)) for i, t in texts_of(docs)]
-            root = roots([m for _, m in marks])
-            least = {}
-            for i, m in marks:
-                least[root[m]] = min(i, least.get(root[m], i))
-            assert Counter(r.doc_id for r in after.collect()) == Counter(least.values())
+            before = texts_of(docs)
+            least = [min(before[j][0] for j in group) for group in brute_groups([t for _, t in before])]
+            assert Counter(r.doc_id for r in after.collect()) == Counter(least)
         if name == "personal_data":
             assert after.count() == docs.count()
             assert not any(brute_base(t) for _, t in texts_of(after))
