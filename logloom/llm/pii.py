@@ -245,11 +245,12 @@ def mask(text: Column, spans: Column) -> Column:
 
 
 def mask_documents(docs: DataFrame, **levels) -> DataFrame:
-    """The documents with personal data masked; ``n_chars``, where there is one, follows."""
-    columns = docs.columns
-    masked = find_personal_data(docs, *columns, **levels).withColumn(
-        "text", F.when(F.size("spans") > 0, mask(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    )
-    if "n_chars" in columns:
-        masked = masked.withColumn("n_chars", F.length("text").cast("long"))
-    return masked.select(*columns)
+    """The documents with personal data masked; ``n_chars``, where there is one,
+    follows. Other columns keep their values, whatever their names; a missing
+    text stays missing."""
+    packed = docs.select("doc_id", "text", F.struct("*").alias("doc"))
+    found = find_personal_data(packed, "doc", **levels)
+    text = F.col("doc.text")
+    masked = found.select("doc", F.when(F.size("spans") > 0, mask(text, F.col("spans"))).otherwise(text).alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.length(F.coalesce("text", F.lit(""))).cast("long")}
+    return masked.select(*(made.get(name, F.col(f"doc.`{name}`")).alias(name) for name in docs.columns))

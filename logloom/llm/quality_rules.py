@@ -29,6 +29,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACES, saved, whole_text
 
@@ -105,8 +106,8 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
             )
 
     given = docs.select(*keep, whole_text().alias("_text"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]]
-    return given.mapInArrow(run, ", ".join([*kept, *(f"{c} long" for c in _COUNTS)]))
+    fields = [*given.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in _COUNTS)]
+    return given.mapInArrow(run, T.StructType(fields))
 
 
 def base_failed() -> Column:
@@ -269,12 +270,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **l
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **levels) -> DataFrame:
-    """The documents that :func:`quality_rules` keeps, with their columns.
+    """The documents that :func:`quality_rules` keeps, with their columns, whose
+    values stay whatever their names.
 
     Texts are read twice and never shuffled while the table of cutoffs can be
     broadcast: once to fit, once to decide.
     """
     cutoffs = certify(features(docs, "doc_id", stratum), labels, stratum, **levels)
-    columns = docs.columns
-    again = features(docs.withColumn("text", whole_text()), *columns)
-    return _judged(again, cutoffs, stratum).filter("kept").select(*columns)
+    packed = docs.select(F.col(stratum).alias("_of"), F.struct("*").alias("_doc"), "text")
+    return _judged(features(packed, "_of", "_doc"), cutoffs, "_of").filter("kept").select("_doc.*")
