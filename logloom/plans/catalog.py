@@ -32,7 +32,9 @@ from ..operators.sequences import mine_sequences, sequence_text
 from ..sources.lines import lines_of_table, read_lines, read_windows_events, stream_lines
 from ..sources.sinks import read_csv_export, write_csv, write_json
 from ..streaming.jobs import read_snapshot, stream_hourly, stream_logs, to_files, to_snapshot
-from .event_logs import LINES_PER_EVENT, base_events, document_lines, mixed_lines, rendered
+from ..streaming.records import folder_of, read_records, stream_blocks, to_records
+from ..streaming.totals import hourly_parts, read_totals, to_totals
+from .event_logs import LINES_PER_EVENT, STACK_FRAME, base_events, document_lines, line_text, mixed_lines, rendered
 from .pipeline import logs_from_lines
 from .workspace import work_folder
 
@@ -529,3 +531,51 @@ def stream_hourly_counts(spark, sf_dir):
     )
     job.start().awaitTermination()
     return read_snapshot(spark, f"{folder}-out")
+
+
+def _in_slices(lines: DataFrame, folder: str, ends: list[float], **write: str) -> None:
+    """Lines (``number``, ``value`` and those to partition by) as files, one
+    written after another; ``ends`` are the shares of the numbers at which they end."""
+    low, high = lines.agg(F.min("number"), F.max("number")).first()
+    place = (F.col("number") - F.lit(low)) / F.lit((high or 0) - (low or 0) + 1)
+    for start, end in zip([0.0, *ends], [*ends, 1.0]):
+        own = lines.filter((place >= start) & (place < end)).coalesce(1).sortWithinPartitions(*write.values(), "number")
+        own.drop("number").write.mode("append").partitionBy(*write.values()).text(folder)
+
+
+@query
+def stream_records(spark, sf_dir):
+    """Records of two lines on a stream of files that mostly end within a record."""
+    folder = work_folder(spark, "stream-records")
+    record = F.concat(line_text("custom"), F.lit(STACK_FRAME))
+    lines = base_events(spark, sf_dir).select("event_id", F.posexplode(F.split(record, "\n")).alias("i", "value"))
+    _in_slices(lines.select((2 * F.col("event_id") + F.col("i")).alias("number"), "value"), folder, [0.1, 0.5])
+    blocks = stream_blocks(spark, folder, maxFilesPerTrigger="1")
+    job = to_records(blocks, f"{folder}-out", f"{folder}-state", f"{folder}-checkpoint", source=folder_of)
+    job.trigger(availableNow=True).start().awaitTermination()
+    return read_records(spark, f"{folder}-out", f"{folder}-state").select("timestamp", "level", "module", "message")
+
+
+@query
+def stream_mixed_formats(spark, sf_dir):
+    """Twelve sources on a stream, each in a format of its own that shows after some files."""
+    folder = work_folder(spark, "stream-mixed")
+    lines = mixed_lines(spark, sf_dir).select("source", F.col("line_id").alias("number"), "value")
+    _in_slices(lines, folder, [0.1, 0.5], by="source")
+    blocks = stream_blocks(spark, folder, maxFilesPerTrigger="12")
+    job = to_records(blocks, f"{folder}-out", f"{folder}-state", f"{folder}-checkpoint", source=folder_of, year=YEAR)
+    job.trigger(availableNow=True).start().awaitTermination()
+    logs = read_records(spark, f"{folder}-out", f"{folder}-state", year=YEAR)
+    return logs.select("format", "timestamp", "level", "module", "message")
+
+
+@query
+def stream_hourly_late(spark, sf_dir):
+    """Hourly counts where every batch brings rows of all hours again."""
+    folder = work_folder(spark, "stream-late")
+    dealt = rendered(spark, sf_dir, "custom").select("value", (F.col("line_id") % 4).alias("part"))
+    for part in range(4):
+        dealt.filter(F.col("part") == part).select("value").coalesce(1).write.mode("append").text(folder)
+    logs = stream_logs(stream_lines(spark, folder, maxFilesPerTrigger="1"), "custom")
+    to_totals(hourly_parts(logs), f"{folder}-out", f"{folder}-state").trigger(availableNow=True).start().awaitTermination()
+    return read_totals(spark, f"{folder}-out")

@@ -380,4 +380,13 @@ ORACLES: dict[str, str] = {
         "CAST(count(*) FILTER (level = 'ERROR') AS BIGINT) AS errors",
         "GROUP BY 1",
     ),
+    "stream_records": _base(
+        f"{_TIME}, level, module, message || chr(10) || chr(9) || 'at worker.run(worker.py:7)' AS message"
+    ),
+    "stream_mixed_formats": f"SELECT format, timestamp, level, module, message FROM ({_mixed()}) AS m",
+    "stream_hourly_late": _base(
+        "date_trunc('hour', ts) AS timestamp, count(*) AS count, "
+        "CAST(count(*) FILTER (level = 'ERROR') AS BIGINT) AS errors",
+        "GROUP BY 1",
+    ),
 }

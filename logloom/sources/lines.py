@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 _LINE_BITS = 33
 
 
-def _clean(value: Column, encoding: str) -> Column:
+def clean(value: Column, encoding: str) -> Column:
     """Decoded text; bytes that are not UTF-8 are dropped."""
     if encoding.lower().replace("-", "") != "utf8":
         return F.decode(value.cast("binary"), encoding)
@@ -26,24 +26,30 @@ def _bytes(size: str) -> int:
     return int(number) * 1024 ** ("kmgtp".index(unit) + 1 if unit else 0)
 
 
-def _line_id(spark: SparkSession) -> Column:
-    """A number that orders the lines of a file, also across its blocks.
+def line_number(spark: SparkSession, block_start: Column, bits: int) -> Column:
+    """A number of ``bits`` bits that orders the lines of a file, also across its blocks.
 
     Spark numbers rows within an input partition, and a partition reads each
     block in order, so block start and row number together give the order
     without a shuffle. A block is never smaller than the lesser of the two
-    sizes below, so its start divided by that tells it from all others.
+    sizes below, so its start divided by that tells it from all others. Where
+    fewer bits are asked for than a file's number may have, rows have as many
+    as a partition has bytes.
     """
-    least = min(
-        _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")),
-        _bytes(spark.conf.get("spark.sql.files.openCostInBytes")),
-    )
-    block = F.shiftright(F.col("_metadata.file_block_start"), max(least.bit_length() - 1, 0))
+    most = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    least = min(most, _bytes(spark.conf.get("spark.sql.files.openCostInBytes")))
+    rows = _LINE_BITS if bits == 63 else most.bit_length()
+    block = F.shiftright(block_start, max(least.bit_length() - 1, 0))
     # All the bits that Spark itself has for the rows of a partition.
     in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _LINE_BITS) - 1))
-    return F.when(
-        block < (1 << (63 - _LINE_BITS)), F.shiftleft(block, _LINE_BITS) + in_partition
-    ).otherwise(F.raise_error(F.lit("too many blocks in a file to number its lines")))
+    fits = (block < (1 << (bits - rows))) & (in_partition < (1 << rows))
+    return F.when(fits, F.shiftleft(block, rows) + in_partition).otherwise(
+        F.raise_error(F.lit("too many blocks in a file to number its lines"))
+    )
+
+
+def _line_id(spark: SparkSession) -> Column:
+    return line_number(spark, F.col("_metadata.file_block_start"), 63)
 
 
 def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-8") -> DataFrame:
@@ -57,7 +63,7 @@ def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-
         .select(
             F.col("_metadata.file_path").alias("source"),
             _line_id(spark).alias("line_id"),
-            _clean(F.col("value"), encoding).alias("value"),
+            clean(F.col("value"), encoding).alias("value"),
             F.col("_metadata.file_modification_time").alias("modified"),
         )
     )
@@ -73,7 +79,7 @@ def stream_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("source"),
-            _clean(F.col("value"), "utf-8").alias("value"),
+            clean(F.col("value"), "utf-8").alias("value"),
             F.col("_metadata.file_modification_time").alias("modified"),
         )
     )
@@ -102,7 +108,7 @@ def read_windows_events(
     file cuts off is told from a finished one; only where the cut falls right
     behind such a character it is not.
     """
-    event = F.regexp_extract(_clean(F.col("value"), encoding), r"(?s)^.*(<Event[ >].*)$", 1)
+    event = F.regexp_extract(clean(F.col("value"), encoding), r"(?s)^.*(<Event[ >].*)$", 1)
     return (
         spark.read.option("lineSep", "/Event>")
         .text(path)

@@ -31,9 +31,9 @@ def stream_logs(
 def stream_hourly(logs: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Rows and errors per hour of a stream; state is one row per open hour.
 
-    In append mode an hour comes out once the watermark has passed it, and
-    rows later than the watermark are dropped. In update mode the hours come
-    out as they stand.
+    Rows of hours that the watermark has passed are dropped. In append mode an
+    hour comes out once it is passed, in update mode as it stands. ``to_totals``
+    counts late rows as well.
     """
     return (
         logs.filter(F.col("timestamp").isNotNull())

@@ -1,10 +1,15 @@
+import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 import logloom as L
 from logloom.sources.sinks import read_csv_export
+from logloom.streaming import versions
 from logloom.streaming.jobs import read_snapshot, to_files, to_snapshot
+from logloom.streaming.records import folder_of, read_records, stream_blocks, to_records
+from logloom.streaming.totals import hourly_parts, read_totals, to_totals
 
 ODD = ['say "hi", ok', "  edges  ", "two\nlines", "back\\slash", "ünï", "a,b;c", None, "mail k9@mail.example"]
 
@@ -72,3 +77,70 @@ def test_stream_of_files(spark, tmp_path):
     assert sorted(r["response_time_ms"] for r in logs.collect()) == [60.0, 61.0, 62.0, 130.0, 200.0]
     hours = read_snapshot(spark, str(tmp_path / "hours")).orderBy("timestamp").collect()
     assert [(r["timestamp"].hour, r["count"], r["errors"]) for r in hours] == [(1, 3, 3), (2, 1, 1), (3, 1, 1)]
+
+
+def test_records_over_several_files(spark, tmp_path):
+    """Formats and records that only later files settle, a quiet source, and a batch run again."""
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    options = {"sample_lines": 3, "year": 2025}
+    seconds = 1_700_000_000
+
+    def put(name, text):
+        nonlocal seconds
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text)
+        seconds += 100
+        os.utime(folder / name, (seconds, seconds))
+
+    def run(number, idle=None):
+        blocks = stream_blocks(spark, str(folder / "*"))
+        job = to_records(blocks, out, state, str(tmp_path / f"checkpoint{number}"), source=folder_of, idle_seconds=idle, **options)
+        job.trigger(availableNow=True).start().awaitTermination()
+        rows = {f: read_records(spark, out, state, finished=f, **options).collect() for f in (False, True)}
+        return [sorted((r["source"].rsplit("/", 1)[1], r["format"], r["message"]) for r in rows[f]) for f in (False, True)]
+
+    line = "[2025-03-02 07:00:00] [ERROR] [m] "
+    put("a/1", f"{line}one\n\tframe 1\n")
+    put("j/1", '{"level": "INFO", "message": "x"}\n')
+    every, finished = run(0)
+    assert every == [("a", "custom", "one\n\tframe 1"), ("j", "json", "x")] and finished == []
+    put("a/2", f"\tframe 2\n\tframe 3\n{line}two\n")
+    every, finished = run(0)
+    one = "one\n\tframe 1\n\tframe 2\n\tframe 3"
+    assert every == [("a", "custom", one), ("a", "custom", "two"), ("j", "json", "x")]
+    assert finished == [("a", "custom", one)]
+    put("a/3", "\tlast\n")
+    put("j/2", '{"level": "INFO", "message": "y"}\n{"level": "INFO", "message": "z"}\n')
+    every, finished = run(0)
+    assert every == [("a", "custom", one), ("a", "custom", "two\n\tlast"), *(("j", "json", m) for m in "xyz")]
+    assert finished == [every[0], *every[2:]]
+    # Batch 2 again, as after a failure, over another file set: versions start from batch 1.
+    assert versions.committed(spark, state) == [0, 1, 2] and versions.before(spark, state, 2) == 1
+    put("k/1", "free text\n")
+    every, finished = run(0, idle=50)
+    assert every == [("a", "custom", one), ("a", "custom", "two\n\tlast"), *(("j", "json", m) for m in "xyz"), ("k", "generic", "free text")]
+    assert len(finished) == 5 and versions.committed(spark, state) == [1, 2, 3]
+    assert spark.read.parquet(f"{state}/v=3/lines").count() == 1 and spark.read.parquet(f"{state}/v=3/known").count() == 0
+    with pytest.raises(ValueError, match="another checkpoint"):
+        versions.before(spark, str(tmp_path / "other"), 4)
+
+
+def test_totals_lose_no_row(spark, tmp_path):
+    """Rows ten hours late are added; state is a row per hour; a batch run again counts once."""
+    out, source = str(tmp_path / "out"), tmp_path / "in"
+    source.mkdir()
+    for name, hours in (("a", (20, 21)), ("b", (10, 21)), ("c", (10, 20, 5))):
+        texts = [f"[2025-03-02 {h:02d}:00:01] [{level}] [m] x" for h in hours for level in ("ERROR", "INFO")]
+        (source / name).write_text("\n".join(texts) + "\n")
+        logs = L.stream_logs(L.stream_lines(spark, str(source)), "custom")
+        job = to_totals(hourly_parts(logs), out, str(tmp_path / "checkpoint"))
+        job.trigger(availableNow=True).start().awaitTermination()
+    got = read_totals(spark, out).orderBy("timestamp").collect()
+    want = [(5, 2, 1), (10, 4, 2), (20, 4, 2), (21, 4, 2)]
+    assert [(r["timestamp"].hour, r["count"], r["errors"]) for r in got] == want
+    (tmp_path / "checkpoint/commits/2").unlink()  # the batch was done, its end was not noted
+    (tmp_path / "checkpoint/commits/.2.crc").unlink(missing_ok=True)
+    job = to_totals(hourly_parts(logs), out, str(tmp_path / "checkpoint"))
+    job.trigger(availableNow=True).start().awaitTermination()
+    got = read_totals(spark, out).orderBy("timestamp").collect()
+    assert [(r["timestamp"].hour, r["count"], r["errors"]) for r in got] == want
