@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ _RUN = LENGTH - GRAM + 1
 _PLACE = 24
 _BATCH = 1 << 20
 _MIX = 0x9E3779B97F4A7C15
-#: Runs of an anchor that more than these share are classed by joins.
-HOT = 4096
+#: A task refines buckets of at most so many runs; larger ones are divided before.
+BUCKET = 1024
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -191,7 +192,7 @@ def _by_refinement(shared: DataFrame) -> DataFrame:
                         found = list(_spans(classed[text]))
                     else:
                         found = []
-                    for row in same if found else ():
+                    for row in (r for r in same if found and r[3]):
                         own = spans.setdefault(row[:2], [])
                         own += ((at + a, at + b) for at in row[3] for a, b in found)
             return _span_batch(spans)
@@ -210,48 +211,80 @@ def _by_refinement(shared: DataFrame) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _SPANS)
 
 
-def _by_joins(shared: DataFrame) -> DataFrame:
-    """The same for anchors that very many runs share: equal runs are counted,
-    and of the others every window, on the map side first; members are found by
-    joins against one row per class, whose large ones the adaptive planner splits."""
-    runs_ = shared.select("doc_id", "copy", "firsts", "bytes", F.unhex(F.md5("bytes")).alias("run"))
-    place = F.struct("doc_id", "copy", F.col("firsts")[0])
+def _equal(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the pieces ``rows`` (bucket, at, bytes, doc_id, copy, firsts; without
+    ``firsts`` for what stands elsewhere): spans of those that are there again, and one
+    row per different piece of a bucket, its ``firsts`` empty if it is there again."""
+    place = F.struct("doc_id", "copy", "firsts")
+    rows = rows.withColumn("piece", F.unhex(F.md5(F.concat(F.encode(F.concat(F.col("at").cast("string"), F.lit(":")), "utf-8"), "bytes"))))
+    times = F.when(F.size("firsts") > 0, F.size("firsts")).otherwise(2)
     # Written first, so that both sides of the join are dealt anew and can be split.
-    classes = saved(runs_.groupBy("run").agg(F.sum(F.size("firsts")).alias("times"), F.min(place).alias("one")), "classes")
-    joined = saved(runs_.join(classes, "run"), "runs")
+    rows = saved(rows, "pieces")
+    classes = saved(rows.groupBy("bucket", "piece").agg(F.sum(times).alias("times"), F.min(place).alias("one")), "classes")
+    joined = saved(rows.join(classes, ["bucket", "piece"]), "classed")
     size = F.octet_length("bytes")
-    same = joined.filter("times > 1").select(
-        "doc_id",
-        "copy",
-        F.transform("firsts", lambda at: F.struct(at.alias("start"), (at + size).alias("end"))).alias("spans"),
+    spans = joined.filter("times > 1 AND size(firsts) > 0").select(
+        "doc_id", "copy", F.transform("firsts", lambda begin: F.struct(begin.alias("start"), (begin + size).alias("end"))).alias("spans")
     )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "copy", "single", "start", "window"]
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-        for batch in batches:
-            for doc_id, copy, first, single, text in zip(*(c.to_pylist() for c in batch.columns)):
-                n = len(text) - LENGTH + 1
-                hashes = [hashlib.md5(text[i : i + LENGTH]).digest() for i in range(n)]
-                columns = ([doc_id] * n, [copy] * n, [single] * n, range(first, first + n), hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    ones = joined.filter(place.eqNullSafe(F.col("one"))).select(
-        "doc_id", "copy", F.col("firsts")[0].alias("first"), (F.col("times") == 1).alias("single"), "bytes"
+    none = F.array().cast("array<long>")
+    ones = joined.filter(place.eqNullSafe(F.col("one"))).withColumn("firsts", F.when(F.col("times") > 1, none).otherwise(F.col("firsts")))
+    return spans, ones.dropDuplicates(["bucket", "piece"]).drop("piece", "times", "one")
+
+
+def _halved(pieces: DataFrame) -> DataFrame:
+    """The pieces cut by where in a window its anchor stands, from ``low`` to
+    ``high`` bytes on, into a piece for either half of these places. All
+    windows of a half hold the bytes around the anchor that the half's bucket
+    is named by, which are more than those of the bucket before."""
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    halves = F.array(
+        F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high"))
     )
-    schema = "doc_id long, copy long, single boolean, start long, window binary"
-    windows = ones.mapInArrow(run, schema)
-    windows = saved(windows, "windows")
-    again = saved(
-        windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("window"), "again"
+    least = F.col("at") - (F.octet_length("bytes") - LENGTH)
+    cut = pieces.withColumn("half", F.explode(halves)).withColumns(
+        {"first": F.greatest(least, "half.low").cast("int"), "last": F.least("at", "half.high").cast("int")}
     )
-    single = windows.filter("single").join(again, "window").select(
-        "doc_id", "copy", F.array(F.struct("start", (F.col("start") + LENGTH).alias("end"))).alias("spans")
+    cut = cut.withColumn("skipped", F.col("at") - F.col("last"))
+    core = F.substring("bytes", F.col("at") - F.col("half.low") + 1, F.col("half.low") + LENGTH - F.col("half.high"))
+    return cut.filter("first <= last").select(
+        F.xxhash64("bucket", "half.low", core).alias("bucket"),
+        "half.low",
+        "half.high",
+        F.col("last").alias("at"),
+        F.substring("bytes", F.col("skipped") + 1, F.col("last") - F.col("first") + LENGTH).alias("bytes"),
+        "doc_id",
+        "copy",
+        F.transform("firsts", lambda begin: begin + F.col("skipped")).alias("firsts"),
     )
-    return same.unionAll(single)
 
 
-def covered(read: DataFrame, hot: int = HOT) -> DataFrame:
+def _by_division(shared: DataFrame, most: int) -> DataFrame:
+    """The same for anchors of more runs than a task takes: pieces that are equal
+    become one, and buckets of more than ``most`` different ones are refined by
+    the bytes on either side of the anchor, half by half, until a task can refine
+    the rest. A piece gives two rows at most a step, eight steps at most."""
+    rows = shared.select(
+        F.col("anchor").alias("bucket"), F.lit(0).alias("low"), F.lit(_RUN - 1).alias("high"), "at", "bytes",
+        "doc_id", "copy", "firsts",
+    )
+    spans, small = [], []
+    while True:
+        known, ones = _equal(rows)
+        spans.append(known)
+        ones = saved(ones, "ones")
+        sizes = ones.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.size("firsts") > 0).alias("open")
+        )
+        # Where nothing is alone, or only one piece is left, all is known.
+        sized = saved(ones.join(saved(sizes.filter("n > 1 AND open > 0"), "sizes"), "bucket"), "sized")
+        small.append(_by_refinement(sized.filter(F.col("n") <= most).withColumn("anchor", F.col("bucket"))))
+        large = sized.filter((F.col("n") > most) & (F.col("low") < F.col("high")))
+        if large.isEmpty():
+            return reduce(DataFrame.unionAll, spans + small)
+        rows = _halved(large.drop("n", "open"))
+
+
+def covered(read: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Spans of bytes that repeated windows cover, of texts (doc_id, copy, text)."""
     table = saved(anchors(read), "anchors")
     # Written first, so that both sides of the join are dealt anew and can be split.
@@ -259,13 +292,13 @@ def covered(read: DataFrame, hot: int = HOT) -> DataFrame:
     wanted = (
         table.join(repeated, "anchor")
         .groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"))
-        .agg(F.collect_list(F.struct("anchor", "places", (F.col("rows") > hot).alias("hot"))).alias("runs"))
+        .agg(F.collect_list(F.struct("anchor", "places", (F.col("rows") > bucket).alias("hot"))).alias("runs"))
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.binary())
-        names = ["doc_id", "copy", "anchor", "hot", "firsts", "bytes"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+        names = ["doc_id", "copy", "anchor", "at", "firsts", "bytes"]
         for batch in batches:
             for doc_id, copy, text, found in zip(*(c.to_pylist() for c in batch.columns[:2]), *batch.columns[2:]):
                 text = text.as_buffer().to_pybytes()
@@ -275,13 +308,16 @@ def covered(read: DataFrame, hot: int = HOT) -> DataFrame:
                     for place in r["places"]:
                         at = place["first"]
                         equal.setdefault(text[at : at + place["windows"] + LENGTH - 1], []).append(at)
-                    rows += ((doc_id, copy, r["anchor"], r["hot"], firsts, run) for run, firsts in equal.items())
+                    for run, firsts in equal.items():
+                        # Where the anchor is, for those that are divided by it.
+                        at = int(np.argmax(_grams(np.frombuffer(run, np.uint8)).view(np.int64) == r["anchor"])) if r["hot"] else None
+                        rows.append((doc_id, copy, r["anchor"], at, firsts, run))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     fetched = read.join(wanted, same).select("doc_id", "copy", "text", "runs")
-    schema = "doc_id long, copy long, anchor long, hot boolean, firsts array<long>, bytes binary"
+    schema = "doc_id long, copy long, anchor long, at int, firsts array<long>, bytes binary"
     shared = saved(fetched.mapInArrow(run, schema), "shared")
-    return _by_refinement(shared.filter("NOT hot")).unionAll(_by_joins(shared.filter("hot")))
+    return _by_refinement(shared.filter("at IS NULL")).unionAll(_by_division(shared.filter("at IS NOT NULL"), bucket))
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:

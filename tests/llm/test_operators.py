@@ -304,15 +304,25 @@ def test_rows_without_an_id_of_their_own(spark, drop):
     assert {(r.doc_id, texts.index(r.text)) for r in got} == {(None, 0), (None, 1), (1, 2), (1, 3), (0, 4), (2, 5), (None, 6)}
 
 
-@pytest.mark.parametrize("hot", [10**9, 1])
-def test_covered_bytes(spark, odd, hot, monkeypatch):
+@pytest.mark.parametrize("most", [10**9, 40, 1])
+def test_covered_bytes(spark, odd, most, monkeypatch):
     monkeypatch.setattr(substring_suffix, "_BATCH", 2048)
+    # A passage that many texts hold, whole or cut, between words of their own or of a few kinds.
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 9)))
+    passage, sides = " ".join(word() for _ in range(60)), [" ".join(word() for _ in range(30)) for _ in range(3)]
+    rows = []
+    for i in range(120):
+        own = [rng.choice([*sides, " ".join(word() for _ in range(30))]) for _ in range(2)]
+        cut = passage[rng.choice([0, 0, 40]) : rng.choice([None, None, 260])]
+        rows.append((1000 + i, f"{own[0]} {cut} {own[1]}", None, None, None, None, None))
+    odd = odd.unionAll(spark.createDataFrame(rows, SCHEMA)).repartition(3)
     docs = [(i, t.encode()) for i, t in texts_of(odd)]
     seen = Counter(t[p : p + 200] for _, t in docs for p in range(len(t) - 199))
     read = odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     read = read.select("doc_id", F.xxhash64("text").alias("copy"), F.col("text").cast("binary").alias("text"))
     got = defaultdict(set)
-    for r in substring_suffix.covered(read, hot).collect():
+    for r in substring_suffix.covered(read, most).collect():
         for s in r.spans:
             got[r.doc_id].update(range(s.start, s.end))
     want = defaultdict(set)
