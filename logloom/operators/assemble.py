@@ -20,6 +20,8 @@ from .detect import is_structured
 from .ordering import SOURCE_KEY, chunk, with_source_key
 
 CHUNK_KEY = (*SOURCE_KEY, "chunk")
+#: Lines without a number are counted from here; numbers are above half of it.
+_UNNUMBERED = -(1 << 62)
 
 
 def starts_record(line: Column) -> Column:
@@ -88,11 +90,13 @@ def assemble_records(lines: DataFrame, start: Column | None = None) -> DataFrame
     one row, however many chunks it runs over: its text is one value, and
     Spark fails rather than cut it if it outgrows what a value holds (2 GB).
     ``format`` and ``modified``, which do not vary within a source, are kept if
-    present.
+    present. Lines without a number come before all others of their source, in the
+    order they are read, and records that start there have none.
     """
     is_start = starts_record(F.col("value")) if start is None else start
     same = ["source"] + [c for c in ("format", "modified") if c in lines.columns]
-    lines = with_source_key(lines).withColumn("chunk", chunk("line_id"))
+    number = F.coalesce("line_id", F.lit(_UNNUMBERED) + F.monotonically_increasing_id())
+    lines = with_source_key(lines.withColumn("line_id", number)).withColumn("chunk", chunk("line_id"))
     pieces = _pieces(lines, is_start)
     chunks = _chunks(lines, is_start, same)
     at_border = (F.col("run") == 0) | (F.col("run") == F.col("last_run"))
@@ -117,7 +121,8 @@ def assemble_records(lines: DataFrame, start: Column | None = None) -> DataFrame
         .groupBy(*SOURCE_KEY, "record_id")
         .agg(*[F.first(c).alias(c) for c in same], _in_order("first_line").alias("value"))
     )
-    return inner.unionByName(border.select(inner.columns))
+    records = inner.unionByName(border.select(inner.columns))
+    return records.withColumn("record_id", F.when(F.col("record_id") >= _UNNUMBERED // 2, F.col("record_id")))
 
 
 def records_of(lines: DataFrame) -> DataFrame:

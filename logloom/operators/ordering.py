@@ -34,24 +34,27 @@ def with_source_key(lines: DataFrame) -> DataFrame:
 
 
 def max_lines(lines: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` lines of every source; 0 keeps them all."""
+    """The first ``n`` lines of every source, those without one among them; 0
+    keeps them all. Lines without a number come before all others."""
     if n <= 0:
         return lines
-    chunked = lines.withColumn("_chunk", chunk("line_id"))
-    by_source = Window.partitionBy("source").orderBy("_chunk")
+    # A missing number is in a chunk below all that numbers have.
+    number = F.coalesce(chunk("line_id"), F.lit(-(1 << 62)))
+    chunked = with_source_key(lines).withColumn("_chunk", number)
+    by_source = Window.partitionBy(*SOURCE_KEY).orderBy("_chunk")
     starts = (
-        chunked.groupBy("source", "_chunk")
+        chunked.groupBy(*SOURCE_KEY, "_chunk")
         .agg(F.count(F.lit(1)).alias("_size"))
         .withColumn("_before", F.sum("_size").over(by_source) - F.col("_size"))
         .filter(F.col("_before") < n)
         .drop("_size")
     )
-    within = Window.partitionBy("source", "_chunk").orderBy("line_id")
+    within = Window.partitionBy(*SOURCE_KEY, "_chunk").orderBy("line_id", "value")
     return (
-        chunked.join(starts, ["source", "_chunk"])
+        chunked.join(starts, [*SOURCE_KEY, "_chunk"])
         .withColumn("_rank", F.col("_before") + F.row_number().over(within))
         .filter(F.col("_rank") <= n)
-        .drop("_chunk", "_before", "_rank")
+        .select(*lines.columns)
     )
 
 

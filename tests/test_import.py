@@ -26,6 +26,17 @@ def test_entry_imports_bare():
     subprocess.run([sys.executable, "-c", _BARE], cwd=ROOT, env=env, check=True, timeout=120)
 
 
+def test_entry_without_a_library_of_the_training_data_queries():
+    """The core queries stay where a library is missing that they don't need."""
+    code = (
+        "import sys, warnings; warnings.simplefilter('ignore'); sys.modules['xxhash'] = None; "
+        "import __spark_entry__ as e; names = e.queries(); "
+        "assert 'hourly_metrics' in names and not any(n.startswith('op') and n[2].isdigit() for n in names)"
+    )
+    env = os.environ | {"PYTHONPATH": ROOT}
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=env, check=True, timeout=120)
+
+
 def test_stop_words_are_sparks(spark):
     from pyspark.ml.feature import StopWordsRemover
 

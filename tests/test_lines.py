@@ -203,3 +203,17 @@ def test_pipeline_over_a_mixed_folder(spark, tmp_path):
     assert got["one"]["format"] == "json" and got["one"]["source"].endswith("b.json")
     assert L.load_logs(spark, str(tmp_path), max_lines=1).count() == 2
     assert L.load_logs(spark, str(tmp_path / "a.log"), "generic", enrich=False).count() == 2
+
+
+def test_lines_without_source_or_number(spark):
+    """They are capped and stitched like all others, and none is lost."""
+    rows = [(None, i, f"n{i}") for i in range(4)] + [("s", None, "x"), ("s", 0, "y"), ("s", 1, "z"), (None, None, "m")]
+    df = spark.createDataFrame(rows, "source string, line_id bigint, value string")
+    got = sorted((r["source"] or "", r["value"]) for r in L.max_lines(df, 2).collect())
+    assert got == [("", "m"), ("", "n0"), ("s", "x"), ("s", "y")]
+    assert L.max_lines(df, 5).count() == 8
+    start = "2025-03-02 07:00:00 "
+    rows = [("s", None, start + "a"), ("s", 0, "\tb"), ("s", 1, start + "c"), (None, 7, start + "d"), (None, 8, "\te")]
+    df = spark.createDataFrame(rows, "source string, line_id bigint, value string").coalesce(1)
+    records = {(r["source"], r["record_id"], r["value"]) for r in L.assemble_records(df).collect()}
+    assert records == {("s", None, start + "a\n\tb"), ("s", 1, start + "c"), (None, 7, start + "d\n\te")}
