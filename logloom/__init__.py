@@ -39,7 +39,7 @@ from .operators.parse import (
 )
 from .operators.phrases import top_error_phrases, top_phrases
 from .operators.redact import add_redacted, redact_columns
-from .operators.sequences import mine_sequences, sequence_text
+from .operators.sequences import error_history, mine_sequences, sequence_text
 from .plans.pipeline import load_logs, logs_from_lines
 from .schema import ENRICHED_SCHEMA, LINE_SCHEMA, LOG_SCHEMA
 from .sources.lines import lines_of_table, read_lines, read_windows_events, stream_lines

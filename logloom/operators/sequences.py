@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.predicates import is_error
+from ..plans.workspace import work_folder
 from ..schema import as_timestamp, column_or_null
 
 #: Rows per slice. A slice is one sort group, so this bounds a task's memory.
@@ -53,8 +54,9 @@ def _latest_per_instant(rows: DataFrame, lookback_rows: int) -> DataFrame:
     )
 
 
-def _positioned(logs: DataFrame, lookback_rows: int) -> DataFrame:
-    """Rows and instants with errors, each with its position in time order.
+def _positioned(logs: DataFrame, lookback_rows: int, carried: Column | None = None) -> DataFrame:
+    """Rows and instants with errors, each with its position in time order, and
+    what is ``carried`` of a row.
 
     ``pos`` of a row is the number of rows before it; of an instant, the
     number of rows strictly earlier. Rows are numbered within ticks of 2**20
@@ -72,9 +74,16 @@ def _positioned(logs: DataFrame, lookback_rows: int) -> DataFrame:
         column_or_null(logs, "record_id", "bigint").alias("record_id"),
         event_token(logs).alias("token"),
         is_error(column_or_null(logs, "level")).alias("error"),
+        *([] if carried is None else [carried.alias("row")]),
     )
     tick = F.shiftright(F.col("t"), 20)
     kept = _latest_per_instant(rows.drop("error"), lookback_rows)
+    if carried is not None:
+        # Which rows are kept beyond the limit hangs on the partitions. Here the
+        # uses of `kept` share no shuffle, so it is written once for all of them.
+        folder = work_folder(logs.sparkSession, "latest-rows")
+        kept.write.parquet(folder)
+        kept = logs.sparkSession.read.schema(kept.schema).parquet(folder)
     errors = (
         rows.filter("error")
         .groupBy("t")
@@ -82,7 +91,7 @@ def _positioned(logs: DataFrame, lookback_rows: int) -> DataFrame:
         .select("t", F.lit(0).alias("is_row"), "errors")
     )
     both = (
-        kept.select("t", F.lit(1).alias("is_row"), "source", "record_id", "token")
+        kept.select("t", F.lit(1).alias("is_row"), "source", "record_id", "token", *([] if carried is None else ["row"]))
         .unionByName(errors, allowMissingColumns=True)
         .withColumn("tick", tick)
     )
@@ -107,8 +116,9 @@ def _positioned(logs: DataFrame, lookback_rows: int) -> DataFrame:
         "tick", (F.col("earlier") + F.sum("size").over(in_span) - F.col("size")).alias("start")
     )
     return numbered.join(starts, "tick").select(
-        "t", "is_row", "token", "errors", (F.col("start") + F.col("in_tick")).alias("pos")
-    )
+        "t", "is_row", "token", "errors", (F.col("start") + F.col("in_tick")).alias("pos"),
+        *([] if carried is None else ["row"]),
+    )
 
 
 def _sliced(positioned: DataFrame, slice_rows: int, lookback_rows: int) -> DataFrame:
@@ -177,5 +187,49 @@ def mine_sequences(
     )
 
 
+#: What is known of a row in a history, apart from its time.
+HISTORY_COLUMNS = ("source", "record_id", "level", "module", "line_type", "message")
+
+
+def error_history(
+    logs: DataFrame, window_minutes: int = 5, lookback_rows: int = fv.LOOKBACK_ROWS
+) -> DataFrame:
+    """The rows before each error: at most the last ``lookback_rows`` that are
+    strictly earlier, by at most the window.
+
+    ``error_source``, ``error_id``, ``error_time`` and ``place`` (1 for the latest)
+    with ``timestamp`` and ``HISTORY_COLUMNS`` of the row. Rows of one time follow
+    each other by their number, as in ``mine_sequences``.
+
+    Rows and instants with errors meet by position, in cells of as many positions as
+    an error looks back, so each cell has as many rows and instants at most
+    however busy a minute is, and an instant's history is found once for all its
+    errors. Only these are then joined to it by time, where the adaptive planner can
+    split an instant with very many errors.
+    """
+    time = as_timestamp(logs)
+    carried = F.struct(*[column_or_null(logs, c, "bigint" if c == "record_id" else "string").alias(c) for c in HISTORY_COLUMNS])
+    positioned = _positioned(logs, lookback_rows, carried)
+    rows = positioned.filter("is_row = 1").select(
+        F.col("t").alias("row_t"), F.col("pos").alias("row_pos"), "row", F.floor(F.col("pos") / lookback_rows).alias("cell")
+    )
+    first, last = ((F.col("pos") - back) / lookback_rows for back in (lookback_rows, 1))
+    cells = F.explode(F.array_distinct(F.array(F.floor(first), F.floor(last))))
+    instants = positioned.filter("is_row = 0").select("t", "pos", cells.alias("cell"))
+    place = F.col("pos") - F.col("row_pos")
+    history = (
+        instants.join(rows, "cell")
+        .filter(place.between(1, lookback_rows) & (F.col("row_t") >= F.col("t") - window_minutes * 60_000_000))
+        .select("t", place.alias("place"), F.timestamp_micros("row_t").alias("timestamp"), "row.*")
+    )
+    errors = logs.filter(time.isNotNull() & is_error(column_or_null(logs, "level"))).select(
+        F.unix_micros(time).alias("t"),
+        column_or_null(logs, "source").alias("error_source"),
+        column_or_null(logs, "record_id", "bigint").alias("error_id"),
+        time.alias("error_time"),
+    )
+    return errors.join(history, "t").drop("t")
+
+
 def sequence_text(sequence: Column | str = "sequence") -> Column:
     return F.array_join(sequence, " → ")

@@ -28,7 +28,7 @@ from ..operators.ordering import max_lines, page_rows
 from ..operators.parse import parse, register_parser, unregister_parser
 from ..operators.phrases import top_error_phrases, top_phrases
 from ..operators.redact import add_redacted, redact_columns
-from ..operators.sequences import mine_sequences, sequence_text
+from ..operators.sequences import error_history, mine_sequences, sequence_text
 from ..sources.lines import lines_of_table, read_lines, read_windows_events, stream_lines
 from ..sources.sinks import read_csv_export, write_csv, write_json
 from ..streaming.jobs import read_snapshot, stream_hourly, stream_logs, to_files, to_snapshot
@@ -469,6 +469,15 @@ def sequences_short(spark, sf_dir):
     return mined.select(sequence_text().alias("sequence"), "count")
 
 
+@query
+def error_history_rows(spark, sf_dir):
+    """The rows that each error looks back at, up to 50 of six hours."""
+    history = error_history(enriched(spark, sf_dir), window_minutes=360)
+    return history.select(
+        F.col("error_id"), "error_time", "place", F.col("record_id").alias("event_id"), "timestamp", "level", "line_type"
+    )
+
+
 # --- order, export, streams --------------------------------------------------
 
 

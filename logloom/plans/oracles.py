@@ -360,6 +360,13 @@ ORACLES: dict[str, str] = {
     ),
     "sequences": _sequences(360, 3, 100),
     "sequences_short": _sequences(60, 4, 100),
+    "error_history_rows": (
+        f"{_WITH} SELECT e.event_id AS error_id, CAST(e.ts AS TIMESTAMP) AS error_time, "
+        "row_number() OVER (PARTITION BY e.event_id ORDER BY r.ts DESC, r.event_id DESC) AS place, "
+        "r.event_id, CAST(r.ts AS TIMESTAMP) AS timestamp, r.level, r.line_type "
+        "FROM base e JOIN base r ON r.ts < e.ts AND r.ts >= e.ts - INTERVAL 360 MINUTE "
+        "WHERE e.level = 'ERROR' QUALIFY place <= 50"
+    ),
     "page_of_rows": _base(
         f"event_id, {_TIME}, message", "ORDER BY event_id LIMIT 200 OFFSET 400"
     ),

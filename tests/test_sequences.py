@@ -82,3 +82,25 @@ def test_shape_and_edges(spark):
     assert L.mine_sequences(df.filter("level = 'INFO'")).count() == 0
     assert L.mine_sequences(df.drop("timestamp")).count() == 0
     assert L.mine_sequences(df, seq_len=1).count() == 0
+
+
+def test_error_history_at_a_busy_instant(spark):
+    """Against plain Python: random times, many rows and errors of one instant, small limits."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        minute = 7 if i < 120 else rng.randint(0, 30)
+        rows.append(("s", i, datetime(2025, 3, 2, 7, minute), rng.choice(["ERROR", "INFO", "INFO"]), "m", f"text {i}"))
+    rows.append(("s", 400, None, "ERROR", "m", "no time"))
+    schema = "source string, record_id long, timestamp timestamp, level string, module string, message string"
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    for window, limit in ((5, 7), (3, 50), (60, 50)):
+        want = set()
+        for _, e, at, level, _, _ in rows:
+            if level == "ERROR" and at:
+                before = [r for r in rows if r[2] and timedelta(0) < at - r[2] <= timedelta(minutes=window)]
+                latest = sorted(before, key=lambda r: (r[2], r[1]), reverse=True)[:limit]
+                want |= {(e, place, r[1], r[5]) for place, r in enumerate(latest, 1)}
+        got = L.error_history(df, window, limit).select("error_id", "place", "record_id", "message").collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert L.error_history(df.limit(0)).count() == 0
