@@ -7,7 +7,10 @@ one anchor, about a hundred bytes apart, stand for all windows. Runs with a
 repeated anchor are sorted by anchor, and the windows of neighbouring anchors
 are classed together by bucket-pointer refinement: buckets of 8-byte strings
 are refined by the buckets 8, 16, 32 ... bytes on, which the same refinement
-made, until windows of LENGTH bytes in one bucket are equal.
+made, until windows of LENGTH bytes in one bucket are equal. An anchor of more
+runs than a task refines is a bucket that is refined on Spark before: equal runs
+become one, and the others go into buckets of the bytes around the anchor that
+all windows of a half, a quarter, ... of their places share.
 """
 
 from __future__ import annotations
