@@ -183,6 +183,22 @@ def test_phrases(spark):
     assert bridged.filter("ngram = 'was to'").count() == 1
 
 
+@pytest.mark.parametrize("probed, top", [(1, 1), (1, 7), (4, 40), (1024, 40), (2, 10**6), (3, 0)])
+def test_phrases_are_exact_beyond_the_probe(spark, probed, top):
+    """However few buckets are probed, and with ties at the border, as counted by hand."""
+    rng = random.Random(3)
+    words = [f"w{i:02d}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(300)] + ["", None, "w01", "w01 w01 w01"]
+    counts = Counter()
+    for text in texts:
+        own = (text or "").split()
+        counts.update(" ".join(own[i : i + n]) for n in (2, 3) for i in range(len(own) - n + 1))
+    want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:top]
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = L.top_phrases(table, "text", top=top, stopped=[], probed=probed).collect()
+    assert [tuple(r) for r in got] == want
+
+
 ERRORS = [
     "Connection refused to db host", "Database timeout after 30s", "Failed to connect to postgres",
     "Auth token expired for user", "Invalid credentials provided",
