@@ -360,15 +360,21 @@ def test_top_k_odd_vectors(spark):
     rng = random.Random(2)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(0, 300, 5)]
     rows += [(200, [float("nan")] * 6), (300, None), (400, [None] * 6), (1, rows[0][1]), (2, rows[0][1]), (500, [1.0]),
-             (None, rows[0][1]), (600, [1e12] * 2), (700, [-1e12, 1e3])]
+             (None, rows[0][1]), (600, [1e12] * 2), (700, [-1e12, 1e3]), (800, []), (900, [])]
+    # Rows that share an id, with another vector and with the same one, and many copies of one vector.
+    rows += [(100, rows[3][1]), rows[40], rows[40]] + [(1000 + i, rows[7][1]) for i in range(60)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    whole = [(i, [int(1024 * x // 1) for x in v]) for i, v in rows if i is not None and v and None not in v and v[0] == v[0]]
-    want = set()
-    for i, q in dict((i, q) for i, q in whole if i % 100 == 0).items():
-        score = lambda v: min(max(sum(a * b for a, b in zip(q, v)), 1 - 2**63), 2**63 - 1)  # noqa: B023, E731
-        scored = sorted((-score(v), j) for j, v in whole if j != i and len(v) == len(q))
-        want |= {(i, n, j, -s) for n, (s, j) in enumerate(scored[:4], 1)}
-    assert set(map(tuple, topk.top_k(table, k=4, least_shards=5).collect())) == want
+    whole = [(i, [int(1024 * x // 1) for x in v]) for i, v in rows if i is not None and v is not None and None not in v and all(x == x for x in v)]
+    want = Counter()
+    for at, (i, q) in enumerate(whole):
+        if i % 100 == 0:
+            score = lambda v: min(max(sum(a * b for a, b in zip(q, v)), 1 - 2**63), 2**63 - 1)  # noqa: B023, E731
+            scored = sorted((-score(v), j) for n, (j, v) in enumerate(whole) if n != at and len(v) == len(q))
+            want.update((i, n, j, -s) for n, (s, j) in enumerate(scored[:4], 1))
+    for shard_rows, block_rows, first in ((8192, 8192, 4), (7, 3, 1)):
+        got = topk.top_k(table, k=4, least_shards=5, shard_rows=shard_rows, block_rows=block_rows, first_shards=first)
+        got = Counter(map(tuple, got.collect()))
+        assert (got - want, want - got) == ({}, {})
     assert topk.top_k(table.limit(0)).count() == 0
 
 
