@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..schema import LOG_SCHEMA
+from .assemble import assemble_records
 from .parse_connector import modjk_records, tomcat_records
 from .parse_json import (
     cloudwatch_records,
@@ -123,28 +124,61 @@ def unregister_parser(name: str) -> None:
 
 
 def from_rows(
-    func: Callable[[Iterator[str]], pd.DataFrame], schema: T.StructType | str
+    func: Callable[[Iterator[str]], pd.DataFrame],
+    schema: T.StructType | str,
+    starts: Callable[[Column], Column] | None = None,
 ) -> TableParser:
     """Make a table parser of a Python function over an iterator of lines.
 
     This is the one way to run Python per line, for parsers that cannot be
-    written as Columns. ``func`` sees the lines of one Arrow batch at a time,
-    so it must not carry state from line to line; ``schema`` lists what it
-    returns.
+    written as Columns. ``schema`` lists what ``func`` returns.
+
+    Without ``starts``, ``func`` sees the lines of one Arrow batch at a time, in
+    no promised order, so it must not carry state from line to line. If it
+    returns a column ``line``, the place (from 0) of the line a row was made of
+    in what it was given, rows keep that line's ``source`` and ``record_id``.
+
+    ``starts(value)`` is true for lines that a parser's state begins anew at. A
+    unit runs from such a line (or the first of a source) to the next one;
+    ``func`` is called once per unit with all its lines in order, wherever
+    chunks, blocks and batches end, and may keep state within it. Rows have
+    the ``source`` of their unit and the number of its first line. Units are
+    stitched as records are, so a source is never in one task; a unit is.
+    Missing lines take no part then.
     """
-
-    def table(lines: DataFrame) -> DataFrame:
-        names = [f.name for f in T._parse_datatype_string(schema).fields] if isinstance(
-            schema, str
-        ) else schema.names
-
-        def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                rows = func(iter(frame["value"].tolist()))
+    returned = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    names = returned.names
+    # Numbers travel as text: pandas makes doubles of longs beside missing ones.
+    origin = [n for n in ("source", "record_id") if n not in names]
+    whole = T.StructType([T.StructField(n, T.StringType()) for n in origin] + list(returned.fields))
+
+    def beside(of: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        """Rows and where they are from; a column that ``func`` returns is its own."""
+        return pd.concat([of[origin], rows.reindex(columns=names)], axis=1)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = func(iter(frame["value"].tolist())).reset_index(drop=True)
+            if len(rows):
+                # A place that no line has, -1 above all, gives a row without origin.
+                at = rows["line"].tolist() if "line" in rows else [-1] * len(rows)
+                yield beside(frame.reset_index(drop=True).reindex(at).reset_index(drop=True), rows)
+
+    def units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for source, number, value in zip(frame["source"], frame["record_id"], frame["value"]):
+                rows = func(iter(value.split("\n"))).reset_index(drop=True)
                 if len(rows):
-                    yield rows.reindex(columns=names)
+                    yield beside(pd.DataFrame({"source": source, "record_id": number}, index=rows.index), rows)
 
-        return lines.select("value").mapInPandas(batches, schema)
+    def table(lines: DataFrame) -> DataFrame:
+        lines = lines.select(*_origin(lines), "value")
+        if starts is not None:
+            numbered = lines.filter(F.col("value").isNotNull()).withColumnRenamed("record_id", "line_id")
+            lines = assemble_records(numbered, starts(F.col("value")))
+        text = lines.select("source", F.col("record_id").cast("string").alias("record_id"), "value")
+        rows = text.mapInPandas(batches if starts is None else units, whole)
+        return rows.withColumn("record_id", F.col("record_id").cast("long")) if "record_id" in origin else rows
 
     return table
 

@@ -1,3 +1,5 @@
+import random
+from collections import Counter
 from datetime import datetime
 
 import pandas as pd
@@ -219,6 +221,71 @@ def test_unknown_format_is_free_text(lines):
     assert rows(L.parse(lines(["2025-03-02 07:15:00 INFO x"]), "none_such"))[0]["level"] == "INFO"
 
 
+@pytest.fixture
+def joined_lines():
+    def joined_lines(texts):
+        """A parser with state: it joins what follows a line that ends in a backslash."""
+        rows, held, total = [], "", 0
+        for at, text in enumerate(texts):
+            held += text.removesuffix("\\")
+            if not text.endswith("\\"):
+                total += len(held)
+                rows.append({"message": held, "total": total, "line": at})
+                held = ""
+        return pd.DataFrame(rows + ([{"message": held, "total": total + len(held), "line": -1}] if held else []))
+
+    return joined_lines
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10000])
+@pytest.mark.parametrize("spread", [1, 5])
+def test_row_parsers_with_state(spark, joined_lines, batch, spread):
+    """The same rows at any batch size and order, also where a unit runs over chunks of numbers."""
+    rng = random.Random(5)
+    rows, want = [], []
+    for source in ("a", "b", None):
+        unit, first = [], None
+        for i in range(120):
+            text = rng.choice(["# new", "x\\", "yy\\", "z", "", "tail"])
+            number = (1 << 60) + 400 * i
+            if text.startswith("#") or first is None:
+                want += [(source, first, r["message"], r["total"]) for r in joined_lines(unit).to_dict("records")]
+                unit, first = [], number
+            unit.append(text)
+            rows.append((source, number, text))
+        want += [(source, first, r["message"], r["total"]) for r in joined_lines(unit).to_dict("records")]
+    rng.shuffle(rows)
+    rows.append(("a", 1, None))
+    table = spark.createDataFrame(rows, "source string, line_id long, value string").repartition(spread)
+    own = L.from_rows(joined_lines, "message string, total long", starts=lambda value: value.startswith("#"))
+    L.register_parser("joined", own)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = L.parse(table, "joined").select("source", "record_id", "message", "total").collect()
+        assert Counter(map(tuple, got)) == Counter(want)
+        assert L.parse(table.limit(0), "joined").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        L.unregister_parser("joined")
+
+
+def test_row_parsers_keep_the_origin(spark):
+    """Rows keep source and number of the line they name, to the last bit."""
+    def numbered(texts):
+        rows = [{"message": t.upper(), "line": i} for i, t in enumerate(texts) if t and t != "skip"]
+        return pd.DataFrame(rows + [{"message": "sum", "line": -1}])
+
+    rows = [("s", (1 << 62) + 1, "a"), ("s", 7, "skip"), (None, None, "b"), ("t", (1 << 62) + 3, "c"), ("t", 9, None)]
+    table = spark.createDataFrame(rows, "source string, line_id long, value string").coalesce(1)
+    got = L.from_rows(numbered, "message string")(table).filter("message <> 'sum'").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [("s", (1 << 62) + 1, "A"), (None, None, "B"), ("t", (1 << 62) + 3, "C")], key=str
+    )
+    mine = L.from_rows(lambda texts: pd.DataFrame({"source": [t or "" for t in texts]}), "source string")(table)
+    assert mine.columns == ["record_id", "source"] and mine.filter("record_id is null").count() == 5
+
+
 def test_registered_parsers(lines, spark):
     from pyspark.sql import functions as F
 
