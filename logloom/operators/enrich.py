@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import enrichment as en
+from ..plans.workspace import work_folder
 from ..schema import column_or_null
 
 
@@ -16,8 +17,8 @@ def add_enrichments(
 
     Status, method and path found in the message replace parsed ones, unless
     ``preserve_parsed``. A missing address is taken from the message per row;
-    with ``ip_mode="dataset"`` only if no row of the table has one, which a
-    scalar subquery decides.
+    with ``ip_mode="dataset"`` only if no row of the table has one. The table is
+    then written once, so that asking this doesn't parse the log again.
     """
     if "message" not in logs.columns:
         return logs
@@ -43,8 +44,12 @@ def add_enrichments(
     if "ip" not in logs.columns:
         columns["ip"] = found_ip
     elif ip_mode == "dataset":
-        has_ip = logs.agg(F.coalesce(F.bool_or(ip.isNotNull()), F.lit(False))).scalar()
-        columns["ip"] = F.when(has_ip, ip).otherwise(found_ip)
+        spark, schema = logs.sparkSession, logs.schema
+        folder = work_folder(spark, "parsed")
+        logs.write.parquet(folder)
+        logs = spark.read.schema(schema).parquet(folder)
+        # Ends at the first address found, and reads that column alone.
+        columns["ip"] = found_ip if logs.filter(ip.isNotNull()).isEmpty() else ip
     else:
         columns["ip"] = F.coalesce(ip, found_ip)
     if "user_agent" in logs.columns:

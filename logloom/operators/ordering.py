@@ -65,10 +65,22 @@ PREFERRED_COLUMNS = (
 )
 
 
+#: Pages of more rows find their bounds by joins without a broadcast.
+BROADCAST_PAGE = 100_000
+
+
 def page_rows(
     logs: DataFrame, page: int = 1, size: int = 200, message_column: str = "message"
 ) -> DataFrame:
-    """Page ``page`` (from 1) of the log in the order of its records."""
+    """Page ``page`` (from 1) of the log in the order of its records.
+
+    The bounds are at most ``size`` rows; they are broadcast up to
+    ``BROADCAST_PAGE`` of them.
+    """
+
+    def bounds(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if size <= BROADCAST_PAGE else df
+
     start, end = (page - 1) * size, page * size
     chunked = logs.withColumn("_chunk", F.shiftright("record_id", PAGE_CHUNK_BITS))
     # The source as a result: a constant one stays a column to join by.
@@ -87,7 +99,7 @@ def page_rows(
     running = F.col("_earlier") + F.sum("_size").over(in_order) - F.col("_size")
     wanted = (
         # A page has rows of at most ``size`` sources and chunks.
-        sizes.join(F.broadcast(earlier), F.col("_of").eqNullSafe(F.col("_source")))
+        sizes.join(bounds(earlier), F.col("_of").eqNullSafe(F.col("_source")))
         .withColumn("_before", running)
         .filter((F.col("_before") < end) & (F.col("_before") + F.col("_size") > start))
         .select("_source", F.col("_chunk").alias("_wanted"), "_before")
@@ -95,7 +107,7 @@ def page_rows(
     within = Window.partitionBy("source", "_chunk").orderBy("record_id")
     ranked = (
         chunked.join(
-            F.broadcast(wanted),
+            bounds(wanted),
             F.col("source").eqNullSafe(F.col("_source"))
             & F.col("_chunk").eqNullSafe(F.col("_wanted")),
         )

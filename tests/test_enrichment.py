@@ -115,6 +115,8 @@ def test_add_enrichments(spark):
     assert [r["status_code"] for r in got] == ["200", "404", "503"]
     whole = L.add_enrichments(df, ip_mode="dataset").orderBy("record_id").collect()
     assert [r["ip"] for r in whole] == [None, "10.0.0.1", None]
+    once = L.add_enrichments(df, ip_mode="dataset")._jdf.queryExecution().executedPlan().toString()
+    assert once.count("FileScan") == 1 and "/parsed-" in once and "Subquery" not in once
     none = L.add_enrichments(df.withColumn("ip", F.lit(None).cast("string")), ip_mode="dataset")
     assert none.orderBy("record_id").first()["ip"] == "10.0.0.9"
     assert "ip" in L.add_enrichments(df.drop("ip")).columns

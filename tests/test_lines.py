@@ -181,7 +181,9 @@ def test_max_lines(spark, n):
     assert L.max_lines(df, 0) is df
 
 
-def test_pages(spark):
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_pages(spark, monkeypatch, broadcast):
+    monkeypatch.setattr("logloom.operators.ordering.BROADCAST_PAGE", broadcast)
     rng = random.Random(1)
     keys = sorted((s, i) for s in "abc" for i in rng.sample(range(CHUNK * 80), 70))
     rows = [(s, i, f"{s}{i}") for s, i in keys]
