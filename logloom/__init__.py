@@ -8,7 +8,7 @@ from .functions.enrichment import (
 )
 from .functions.sql import register_sql_functions
 from .operators.assemble import assemble_records, records_of
-from .operators.clusters import cluster_errors, cluster_sizes
+from .operators.clusters import ClusterModel, cluster_errors, cluster_sizes, fit_clusters, label_errors
 from .operators.detect import detect_format, detect_formats, with_format
 from .operators.distributions import (
     activity_heatmap,

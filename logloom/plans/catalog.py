@@ -14,7 +14,7 @@ from ..functions.sql import register_sql_functions
 from ..operators import distributions as dist
 from ..operators import hourly, modules
 from ..operators.assemble import assemble_records
-from ..operators.clusters import cluster_errors, cluster_sizes
+from ..operators.clusters import cluster_errors, cluster_sizes, fit_clusters, label_errors
 from ..operators.detect import detect_formats
 from ..operators.enrich import add_enrichments
 from ..operators.filters import (
@@ -429,11 +429,14 @@ def document_phrases(spark, sf_dir):
     return top_phrases(_documents(spark, sf_dir), "text", top=100)
 
 
-def _document_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select(
-        F.lit("ERROR").alias("level"), F.col("text").alias("message")
+def _document_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select(
+        F.lit("ERROR").alias("level"), F.coalesce("text", F.lit("")).alias("message")
     )
-    return cluster_errors(docs)
+
+
+def _document_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_errors(_document_errors(spark, sf_dir))
 
 
 @query
@@ -446,6 +449,15 @@ def error_cluster_sizes(spark, sf_dir):
     return cluster_sizes(_document_clusters(spark, sf_dir))
 
 
+@query
+def error_cluster_round(spark, sf_dir):
+    """A round of K-means over all documents from five of them, then the nearest cluster of each."""
+    docs = _document_errors(spark, sf_dir)
+    least = docs.select("message", F.md5("message").alias("digest")).distinct().orderBy("digest").limit(5)
+    model = fit_clusters(docs, rounds=1, initial=[row["message"] for row in least.collect()])
+    return label_errors(docs, model)
+
+
 @query
 def error_cluster_texts(spark, sf_dir):
     """Errors without their figures: ten texts that share no word, so each is a cluster."""

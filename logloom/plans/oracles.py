@@ -7,6 +7,7 @@ text was made of.
 from __future__ import annotations
 
 from ..functions import fixed_values as fv
+from ..operators.clusters import IDF_UNIT, LENGTH
 from .event_logs import BASE_CTE, LINES_PER_EVENT, MIXED_FORMATS, USER_AGENTS
 
 _WITH = f"WITH {BASE_CTE} "
@@ -141,16 +142,18 @@ SELECT array_to_string(s, ' → ') AS sequence, count
 FROM counted ORDER BY count DESC, s LIMIT {top}"""
 
 
-def _phrases(source: str, word: str, top: int) -> str:
+def _words(word: str) -> str:
     stopped = ", ".join(
         "'" + w.replace("'", "''") + "'"
         for w in fv.ENGLISH_STOP_WORDS
     )
+    return f"list_filter(regexp_extract_all(lower(text), '{word}'), lambda w: w NOT IN ({stopped}))"
+
+
+def _phrases(source: str, word: str, top: int) -> str:
     return f"""
 WITH {source},
-words AS (
-  SELECT list_filter(regexp_extract_all(lower(text), '{word}'),
-    lambda w: w NOT IN ({stopped})) AS ws FROM texts),
+words AS (SELECT {_words(word)} AS ws FROM texts),
 grams AS (
   SELECT unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS ngram FROM words
   UNION ALL
@@ -159,6 +162,49 @@ grams AS (
 SELECT ngram, count(*) AS count FROM grams GROUP BY ngram ORDER BY count DESC, ngram LIMIT {top}"""
 
 
+def _cluster_round(word: str, k: int) -> str:
+    """Whole vectors of TF-IDF, a round from ``k`` messages, and the nearest centroids after it."""
+
+    def nearest(centres: str) -> str:
+        return f"""
+  SELECT text, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+    SELECT s.text, c.cluster, s.square + c.square - 2 * coalesce(p.product, 0) AS d
+    FROM squares s CROSS JOIN (
+      SELECT n.cluster, coalesce(sum(x * x), 0) AS square
+      FROM numbers n LEFT JOIN {centres} USING (cluster) GROUP BY n.cluster) c
+    LEFT JOIN (
+      SELECT v.text, c.cluster, sum(v.x * c.x) AS product
+      FROM vectors v JOIN {centres} c USING (word) GROUP BY ALL) p
+    ON p.text = s.text AND p.cluster = c.cluster) GROUP BY text"""
+
+    return f"""
+WITH texts AS (SELECT coalesce(text, '') AS text FROM documents),
+messages AS (SELECT text, count(*) AS weight FROM texts GROUP BY text),
+terms AS (
+  SELECT text, weight, word, count(*) AS tf
+  FROM (SELECT text, weight, unnest({_words(word)}) AS word FROM messages) GROUP BY ALL),
+vocabulary AS (
+  SELECT word, floor({IDF_UNIT} * (ln((1 + (SELECT count(*) FROM texts)) / (1 + sum(weight))) + 1)) AS idf
+  FROM terms GROUP BY word ORDER BY sum(tf * weight) DESC, word LIMIT {fv.CLUSTER_VOCABULARY}),
+raw AS (SELECT text, word, tf * idf AS v FROM terms JOIN vocabulary USING (word)),
+vectors AS (
+  SELECT text, word, CAST(floor({LENGTH} * v / sqrt(sum(v * v) OVER (PARTITION BY text))) AS BIGINT) AS x FROM raw),
+squares AS (
+  SELECT text, weight, coalesce(sum(x * x), 0) AS square FROM messages LEFT JOIN vectors USING (text) GROUP BY ALL),
+numbers AS (
+  SELECT text, row_number() OVER (ORDER BY md5(text)) - 1 AS cluster FROM messages ORDER BY cluster LIMIT {k}),
+first AS (SELECT cluster, word, x FROM numbers JOIN vectors USING (text)),
+before AS ({nearest("first")}),
+counted AS (SELECT cluster, sum(weight) AS n FROM before JOIN messages USING (text) GROUP BY cluster),
+moved AS (
+  SELECT cluster, word, sum(m.weight * v.x) // any_value(n) AS x
+  FROM before JOIN messages m USING (text) JOIN vectors v USING (text) JOIN counted USING (cluster) GROUP BY ALL
+  UNION ALL SELECT cluster, word, x FROM first WHERE cluster NOT IN (SELECT cluster FROM counted)),
+after AS ({nearest("moved")})
+SELECT text AS message, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance
+FROM texts JOIN after USING (text)"""
+
+
 def _mixed() -> str:
     kind = "event_id % 12"
     names = ", ".join(f"'{n}'" for n in MIXED_FORMATS)
@@ -355,6 +401,7 @@ ORACLES: dict[str, str] = {
     "document_phrases": _phrases(
         "texts AS (SELECT text FROM documents)", r"[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}", 100
     ),
+    "error_cluster_round": _cluster_round(r"[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}", 5),
     "error_cluster_texts": _base(
         "string_split(message, ' latency=')[1] AS text, count(*) AS errors", "WHERE level = 'ERROR' GROUP BY 1"
     ),

@@ -1,13 +1,16 @@
 import math
 import random
+import re
 from collections import Counter
 from datetime import datetime, timedelta
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import logloom as L
+from logloom.operators import clusters
 from logloom.operators.hourly import METRIC_COLUMNS
 
 START = datetime(2025, 3, 2, 7)
@@ -235,6 +238,65 @@ def test_clusters_edges(spark):
     assert few.count() == 2
 
 
+def _by_hand(rows, model, centroids, rounds):
+    """K-means of whole numbers, message by message: labels, distances and cost."""
+
+    def vector(message):
+        tf = [float(re.findall(r"\w\w+", message).count(w)) * i for w, i in zip(model.words, model.idf.tolist())]
+        norm = math.sqrt(sum(x * x for x in tf)) or 1.0
+        return [math.floor((1 << 15) * x / norm) for x in tf]
+
+    def nearest(x):
+        return min((sum((a - b) ** 2 for a, b in zip(x, c)), j) for j, c in enumerate(centroids))
+
+    vectors = [vector(m) for m in rows]
+    for _ in range(rounds):
+        members = [[x for x in vectors if nearest(x)[1] == j] for j in range(len(centroids))]
+        centroids = [[sum(c) // len(own) for c in zip(*own)] if own else old for own, old in zip(members, centroids)]
+    return [nearest(x)[::-1] for x in vectors], sum(nearest(x)[0] for x in vectors)
+
+
+def _cluster_logs(spark, parts):
+    draw = random.Random(5)
+    words = [f"word{i}" for i in range(12)]
+    rows = [" ".join(draw.choices(words[4 * (i % 3):4 * (i % 3) + 6], k=draw.randint(0, 7))) for i in range(160)]
+    rows += [rows[7]] * 90
+    logs = spark.createDataFrame([("ERROR", r) for r in rows], "level string, message string")
+    return rows, logs.repartition(parts, F.xxhash64("message") % 7)
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_clusters_round_by_round(spark, rounds):
+    """Weights of repeated texts, texts without words and an idle centroid included."""
+    rows, logs = _cluster_logs(spark, 3)
+    initial = [rows[7], rows[8], rows[9], rows[7]]
+    none = L.fit_clusters(logs, 4, initial=initial, rounds=0)
+    model = L.fit_clusters(logs, 4, initial=initial, rounds=rounds)
+    want, cost = _by_hand(rows, model, none.centroids.tolist(), rounds)
+    got = {r["message"]: (r["cluster"], r["distance"]) for r in L.label_errors(logs, model).collect()}
+    assert [got[m] for m in rows] == want and model.cost == cost
+
+
+def test_clusters_are_the_same_however_rows_are_dealt(spark):
+    models = [L.fit_clusters(_cluster_logs(spark, parts)[1], 3, restarts=4) for parts in (1, 5)]
+    assert models[0].centroids.tolist() == models[1].centroids.tolist() and models[0].cost == models[1].cost
+    # The best of the starts, and one that rests: a further round gains nothing to speak of.
+    rows, logs = _cluster_logs(spark, 2)
+    assert models[0].cost <= min(L.fit_clusters(logs, 3, seed=42 + i, restarts=1).cost for i in range(4))
+    assert _by_hand(rows, models[0], models[0].centroids.tolist(), 1)[1] >= 0.99 * models[0].cost
+
+
+def test_cluster_sums_of_heavy_messages_are_exact(spark):
+    """Weights beyond what a product of doubles could hold."""
+    heavy = (1 << 36) + 12345
+    points = spark.createDataFrame(
+        [(1, heavy, [0], [32767]), (2, 3, [0, 1], [5, 7]), (3, heavy, [1], [32768])],
+        "key long, weight long, places array<int>, `values` array<int>")
+    sums, weights, cost = clusters._pass(points, np.array([[[32767, 0], [0, 0]]]))
+    assert sums.tolist() == [[[32767 * heavy, 0], [15, 21 + 32768 * heavy]]]
+    assert weights.tolist() == [[heavy, heavy + 3]] and cost == [3 * 74 + heavy * 32768**2]
+
+
 def test_worker_summary(spark, lines):
     texts = [
         "[Sun Mar 02 07:15:18 2025] [error] workerEnv in error state 6",
