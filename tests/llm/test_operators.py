@@ -353,6 +353,42 @@ def test_line_dedup_odd_rows(odd, empty):
     assert line_dedup.dedup_units(empty).count() == 0
 
 
+def test_line_dedup_by_hand(spark):
+    """Short lines, paragraphs, sentences in other lines, one text twice, missing ids."""
+    rng = random.Random(11)
+    said = [" ".join(rng.choices("abcdé", k=n)) + rng.choice([".", "!", ""]) for n in (1, 2, 4, 5, 6, 9)]
+    lines = [rng.choice([" ", "  "]).join(rng.choices(said, k=rng.randint(1, 3))) for _ in range(14)]
+    rows = [(i, "\n".join(rng.choices([*lines, "", "\t"], k=rng.randint(0, 8)))) for i in range(60)]
+    rows += [(100, "Total: four words here"), (101, "x y\nTotal:  four words here\n\n"), (None, lines[0]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen, want = set(), {}
+    for i, text in rows:
+        at, spans, units = 0, [], 0
+        for line in (text or "").splitlines(keepends=True):
+            words = WORD.findall(line)
+            whole = (0, *words)
+            if words and whole in seen:
+                spans.append((at, at + len(line)))
+            start = at
+            for part in re.split(r"(?<=[.!?] )", line):
+                own = (1, *WORD.findall(part))
+                if len(own) > 5:
+                    if own in seen and not (words and whole in seen):
+                        spans.append((start, start + len(part)))
+                    seen.add(own)
+                start += len(part)
+            units += bool(words)
+            if words:
+                seen.add(whole)
+            at += len(line)
+        want.setdefault(i, []).append((units, ",".join(f"{a}:{b}" for a, b in spans)))
+    got = defaultdict(list)
+    for r in line_dedup.dedup_units(docs).collect():
+        got[r.doc_id].append((r.n_units, r.removed))
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
+    assert got[101] == [(2, "4:28")]
+
+
 # --- search, personal data, archives, mixing ----------------------------------
 
 
