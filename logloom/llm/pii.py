@@ -213,10 +213,12 @@ def find_personal_data(docs: DataFrame, *keep: str, **levels) -> DataFrame:
 
 def personal_data(docs: DataFrame, **levels) -> DataFrame:
     """Numbers per kind, the digest of the base spans and all spans, per document."""
-    counts = [
-        F.size(F.filter("base", lambda s, n=number: s["kind"] == n)).cast("long").alias(f"n_{kind.name}")
-        for number, kind in enumerate(KINDS)
-    ]
+
+    def of_kind(number: int) -> Column:
+        # A second parameter of the lambda, also one with a default, would be the span's place.
+        return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("long")
+
+    counts = [of_kind(number).alias(f"n_{kind.name}") for number, kind in enumerate(KINDS)]
     return find_personal_data(docs, "doc_id", **levels).select(
         "doc_id",
         *counts,
