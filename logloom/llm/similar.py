@@ -1,4 +1,5 @@
-"""Near duplicates by exact similarity of shingle sets, candidates by MinHash bands."""
+"""Near duplicates by exact similarity of shingle sets. Candidates are what SimHash
+fingerprints link by multi-index hashing, and what shares a MinHash band."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from xxhash import xxh64_digest, xxh64_intdigest
 
 from .common import saved, whole_text
 from .components import components
-from .simhash import one_each, row_key, shingles
+from .simhash import fingerprint, links, one_each, row_key, shingles
 
 BANDS, ROWS = 24, 5
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,23 +40,25 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def _marked(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``row``, ``node`` (a digest of the set), ``n`` and ``keys`` of each row."""
+    """``doc_id``, ``row``, ``node`` (a digest of the set), ``n``, ``keys`` and ``bits`` of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text.as_py(), width) for text in batch.column(2)]
+            texts = batch.column(2).to_pylist()
+            sets = [shingle_set(text, width) for text in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:2],
                     pa.array([xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
+                    pa.array([fingerprint(text, width) for text in texts], pa.int64()),
                 ],
-                names=["doc_id", "row", "node", "n", "keys"],
+                names=["doc_id", "row", "node", "n", "keys", "bits"],
             )
 
     read = docs.select("doc_id", row_key(docs).alias("row"), whole_text().alias("text"))
-    return read.mapInArrow(run, "doc_id long, row long, node long, n long, keys array<long>")
+    return read.mapInArrow(run, "doc_id long, row long, node long, n long, keys array<long>, bits long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -226,13 +229,27 @@ def similar_links(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -
     return links.unionAll(_tile_links(both.join(sets, "node"), percent))
 
 
+def _fingerprint_keys(marked: DataFrame) -> DataFrame:
+    """``node`` and ``near``, a key that all nodes share whose fingerprints are
+    joined by paths of links, as ``op4_simhash`` joins them. A node has the
+    fingerprints of all its texts; one without words has none."""
+    marks = saved(marked.filter("n > 0").select("node", "bits").distinct(), "marks")
+    roots = components(links(marks.select("bits").distinct())).withColumnRenamed("node", "_bits")
+    rooted = marks.join(roots, F.col("bits") == F.col("_bits"), "left")
+    near = F.collect_set(F.xxhash64(F.coalesce("root", "bits"), F.lit("near")))
+    return rooted.groupBy("node").agg(near.alias("near"))
+
+
 def drop_similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one of each group of near duplicates, that of the smallest id.
 
     Two texts are near duplicates if their sets of ``width``-word shingles share
     ``percent`` of their union at least, and a group is what paths of such pairs
-    join. A pair of exactly 80 % meets under one of the keys with probability
-    0.9999; similarity itself is exact. A row is known by its id and columns, so
+    join. Held against each other are texts that SimHash links join, fingerprints
+    of the same shingles that differ in 4 bits at most, and those that share a
+    MinHash band, as at 80 % fingerprints mostly differ in more. A pair of exactly
+    80 % meets under one of the bands with probability 0.9999; similarity itself
+    is exact. A row is known by its id and columns, so
     rows without an id, or of one id, are judged by their texts like any other;
     missing ids come last. Texts aren't shuffled but to drop rows that are equal
     in all columns.
@@ -243,7 +260,10 @@ def drop_similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
             F.min("n").alias("n"),
             F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"),
             F.first("keys").alias("keys"),
-        ),
+        )
+        .join(_fingerprint_keys(marked), "node", "left")
+        .withColumn("keys", F.concat("keys", F.coalesce("near", F.array().cast("array<long>"))))
+        .drop("near"),
         "nodes",
     )
     roots = components(similar_links(nodes, docs, width, percent))

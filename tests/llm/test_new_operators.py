@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from conftest import SMALL
-from logloom.llm import language_id, periodic_runs, pii, queries, vector_codes
+from logloom.llm import language_id, periodic_runs, pii, queries, similar, vector_codes
 
 SCHEMA = "doc_id long, text string, lang string, n_runs int, start string, code long, score string"
 
@@ -200,3 +200,18 @@ def test_personal_data_counts_each_kind(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.personal_data(docs).collect()}
     assert got == {0: (0, 0, 0, 0), 1: (1, 0, 0, 2), 2: (3, 2, 0, 0), 3: (0, 1, 1, 0), 4: (0, 0, 0, 0)}
+
+
+# --- near duplicates ----------------------------------------------------------
+
+
+def test_fingerprints_find_what_no_band_does(spark):
+    """Two texts of 80 % that share no MinHash band but whose fingerprints differ in 4 bits at most."""
+    head = " ".join(f"w693x{i}" for i in range(12))
+    one, other = f"{head} e9", f"{head} e5"
+    sets = [similar.shingle_set(text, 5) for text in (one, other)]
+    assert len(np.intersect1d(*sets)) == 8 and len(np.union1d(*sets)) == 10
+    assert not set(similar.bands(sets[0])) & set(similar.bands(sets[1]))
+    texts = [one, other, "far from both of them", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar.drop_similar(docs).collect()) == [0, 2, 3]
