@@ -5,7 +5,7 @@ Times are returned without a zone, in UTC, so that they compare as they are.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ from ..operators.sequences import error_history, mine_sequences, sequence_text
 from ..sources.lines import lines_of_table, read_lines, read_windows_events, stream_lines
 from ..sources.sinks import read_csv_export, write_csv, write_json
 from ..streaming.jobs import read_snapshot, stream_hourly, stream_logs, to_files, to_snapshot
-from ..streaming.records import folder_of, read_records, stream_blocks, to_records
+from ..streaming.records import read_records, stream_blocks, to_records
 from ..streaming.totals import hourly_parts, read_totals, to_totals
 from .event_logs import LINES_PER_EVENT, STACK_FRAME, base_events, document_lines, line_text, mixed_lines, rendered
 from .pipeline import logs_from_lines
@@ -554,14 +554,42 @@ def stream_hourly_counts(spark, sf_dir):
     return read_snapshot(spark, f"{folder}-out")
 
 
-def _in_slices(lines: DataFrame, folder: str, ends: list[float], **write: str) -> None:
-    """Lines (``number``, ``value`` and those to partition by) as files, one
-    written after another; ``ends`` are the shares of the numbers at which they end."""
+def _in_slices(lines: DataFrame, folder: str, ends: list[float], **write: str) -> Iterator[int]:
+    """Lines (``number``, ``value`` and those to partition by) as files, the next
+    slice each time; ``ends`` are the shares of the numbers at which they end.
+
+    The text is made once and each slice is written by many tasks, whose files
+    follow each other by name, so that no task holds more than a part of a slice.
+    """
+    lines = _saved_lines(lines, f"{folder}-made")
     low, high = lines.agg(F.min("number"), F.max("number")).first()
     place = (F.col("number") - F.lit(low)) / F.lit((high or 0) - (low or 0) + 1)
-    for start, end in zip([0.0, *ends], [*ends, 1.0]):
-        own = lines.filter((place >= start) & (place < end)).coalesce(1).sortWithinPartitions(*write.values(), "number")
-        own.drop("number").write.mode("append").partitionBy(*write.values()).text(folder)
+    for i, (start, end) in enumerate(zip([0.0, *ends], [*ends, 1.0])):
+        own = lines.filter((place >= start) & (place < end)).repartitionByRange(*write.values(), "number")
+        own = own.sortWithinPartitions(*write.values(), "number").drop("number")
+        own.write.partitionBy(*write.values()).text(f"{folder}/slice={i}")
+        yield i
+
+
+def _saved_lines(lines: DataFrame, path: str) -> DataFrame:
+    lines.write.parquet(path)
+    return lines.sparkSession.read.schema(lines.schema).parquet(path)
+
+
+def _log_of(path: Column) -> Column:
+    """The source of a file of any slice: all there is, or what it is partitioned by."""
+    return F.regexp_replace(path, r"/slice=[0-9]+((?:/[^/=]+=[^/]*)?)/[^/]*$", "$1")
+
+
+def _stream_slices(lines: DataFrame, folder: str, ends: list[float], year: int | None = None, **write: str) -> DataFrame:
+    """The log table of a stream that meets one slice a batch and is started again for each."""
+    spark = lines.sparkSession
+    out, state = f"{folder}-out", f"{folder}-state"
+    for _ in _in_slices(lines, folder, ends, **write):
+        blocks = stream_blocks(spark, folder)
+        job = to_records(blocks, out, state, f"{folder}-checkpoint", source=_log_of, by_name=True, year=year)
+        job.trigger(availableNow=True).start().awaitTermination()
+    return read_records(spark, out, state, by_name=True, year=year)
 
 
 @query
@@ -570,11 +598,8 @@ def stream_records(spark, sf_dir):
     folder = work_folder(spark, "stream-records")
     record = F.concat(line_text("custom"), F.lit(STACK_FRAME))
     lines = base_events(spark, sf_dir).select("event_id", F.posexplode(F.split(record, "\n")).alias("i", "value"))
-    _in_slices(lines.select((2 * F.col("event_id") + F.col("i")).alias("number"), "value"), folder, [0.1, 0.5])
-    blocks = stream_blocks(spark, folder, maxFilesPerTrigger="1")
-    job = to_records(blocks, f"{folder}-out", f"{folder}-state", f"{folder}-checkpoint", source=folder_of)
-    job.trigger(availableNow=True).start().awaitTermination()
-    return read_records(spark, f"{folder}-out", f"{folder}-state").select("timestamp", "level", "module", "message")
+    numbered = lines.select((2 * F.col("event_id") + F.col("i")).alias("number"), "value")
+    return _stream_slices(numbered, folder, [0.1, 0.5]).select("timestamp", "level", "module", "message")
 
 
 @query
@@ -582,11 +607,7 @@ def stream_mixed_formats(spark, sf_dir):
     """Twelve sources on a stream, each in a format of its own that shows after some files."""
     folder = work_folder(spark, "stream-mixed")
     lines = mixed_lines(spark, sf_dir).select("source", F.col("line_id").alias("number"), "value")
-    _in_slices(lines, folder, [0.1, 0.5], by="source")
-    blocks = stream_blocks(spark, folder, maxFilesPerTrigger="12")
-    job = to_records(blocks, f"{folder}-out", f"{folder}-state", f"{folder}-checkpoint", source=folder_of, year=YEAR)
-    job.trigger(availableNow=True).start().awaitTermination()
-    logs = read_records(spark, f"{folder}-out", f"{folder}-state", year=YEAR)
+    logs = _stream_slices(lines, folder, [0.1, 0.5], YEAR, by="source")
     return logs.select("format", "timestamp", "level", "module", "message")
 
 

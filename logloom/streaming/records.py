@@ -11,7 +11,8 @@ up as well, and the state is one record or some fifty lines per source.
 
 A source is a file, or what ``source`` makes of a file's path, such as its
 folder where a log is rotated over many files. Files of a source follow each
-other by batch, then by the time of their last change, then by path.
+other by batch, then by the time of their last change, then by path; with
+``by_name`` by batch, then by path, for files that were written side by side.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def _heads(lines: DataFrame, files: DataFrame, sample_lines: int, order: str) ->
     )
 
 
-def _files(lines: DataFrame, known: DataFrame) -> DataFrame:
+def _files(lines: DataFrame, known: DataFrame, by_name: bool) -> DataFrame:
     """One row per file: its ``rank`` in the source, the source's ``format`` if it
     is known, and the last line that starts a record, by either rule."""
     value = F.col("value")
@@ -94,7 +95,8 @@ def _files(lines: DataFrame, known: DataFrame) -> DataFrame:
         F.max(F.when(starts_record(value), F.col("line_id"))).alias("start"),
         F.max(F.when(value.rlike(tx.UNICODE + fv.XML_EVENT_START), F.col("line_id"))).alias("xml_start"),
     )
-    order = Window.partitionBy("source").orderBy("batch", "modified", "path")
+    times = [] if by_name else ["modified"]
+    order = Window.partitionBy("source").orderBy("batch", *times, "path")
     rank = F.row_number().over(order) - 1
     limit = F.raise_error(F.lit("too many files of one source in a batch: set maxFilesPerTrigger"))
     rank = F.when(rank < (1 << _FILE_BITS), rank.cast("bigint")).otherwise(limit)
@@ -139,6 +141,7 @@ def to_records(
     checkpoint: str,
     *,
     source: Callable[[Column], Column] = file_of,
+    by_name: bool = False,
     order: str = "specific",
     sample_lines: int = fv.DETECTION_LINES,
     idle_seconds: int | None = None,
@@ -165,7 +168,7 @@ def to_records(
             line_number(spark, F.col("block"), _NUMBER_BITS).alias("line_id"), "value",
         )
         lines = waiting.unionByName(new)
-        files = versions.write(_files(lines, known.drop("modified")), state, number, "files")
+        files = versions.write(_files(lines, known.drop("modified"), by_name), state, number, "files")
         limit = F.lit(None).cast("timestamp")
         if idle_seconds is not None and (newest := files.agg(F.max("modified")).first()[0]):
             limit = F.lit(newest) - F.make_dt_interval(secs=F.lit(idle_seconds))
@@ -210,6 +213,7 @@ def read_records(
     path: str,
     state: str,
     *,
+    by_name: bool = False,
     order: str = "specific",
     sample_lines: int = fv.DETECTION_LINES,
     year: int | None = None,
@@ -224,7 +228,7 @@ def read_records(
         return closed
     known = versions.read(spark, state, last, "known", _KNOWN).drop("modified")
     lines = versions.read(spark, state, last, "lines", _LINES)
-    files = _files(lines, known)
+    files = _files(lines, known, by_name)
     told = _heads(lines, files, sample_lines, order).select("source", "format")
     known = known.unionByName(told)
     formats = [r[0] for r in known.select("format").distinct().collect()]

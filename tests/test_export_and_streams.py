@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import logloom as L
+from logloom.plans.catalog import _in_slices
 from logloom.sources.sinks import read_csv_export
 from logloom.streaming import versions
 from logloom.streaming.jobs import read_snapshot, to_files, to_snapshot
@@ -144,3 +145,31 @@ def test_totals_lose_no_row(spark, tmp_path):
     job.trigger(availableNow=True).start().awaitTermination()
     got = read_totals(spark, out).orderBy("timestamp").collect()
     assert [(r["timestamp"].hour, r["count"], r["errors"]) for r in got] == want
+
+
+def test_files_in_order_of_their_names(spark, tmp_path):
+    """Files written side by side follow each other by name, whichever was done first."""
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    texts = ["[2025-03-02 07:00:00] [ERROR] [m] one\n\tframe 1\n", "\tframe 2\n", "\tframe 3\n[2025-03-02 07:00:01] [INFO] [m] two\n"]
+    for i, text in enumerate(texts):
+        (folder / f"part-{i}").write_text(text)
+        os.utime(folder / f"part-{i}", (1_700_000_000 - 100 * i,) * 2)
+    job = to_records(stream_blocks(spark, str(folder)), out, state, str(tmp_path / "checkpoint"), source=folder_of, by_name=True)
+    job.trigger(availableNow=True).start().awaitTermination()
+    got = read_records(spark, out, state, by_name=True).collect()
+    assert sorted(r["message"] for r in got) == ["one\n\tframe 1\n\tframe 2\n\tframe 3", "two"]
+
+
+def test_slices_are_written_by_many_tasks(spark, tmp_path):
+    """No slice of the streams' files is one task's, and files by name are in the order of the numbers."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lines = spark.range(1000).selectExpr("id AS number", "cast(id AS string) AS value")
+        assert list(_in_slices(lines, str(tmp_path / "in"), [0.1, 0.5])) == [0, 1, 2]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for i, (start, end) in enumerate([(0, 100), (100, 500), (500, 1000)]):
+        files = sorted((tmp_path / f"in/slice={i}").glob("part-*"))
+        assert len(files) > 4
+        assert [int(x) for f in files for x in f.read_text().split()] == list(range(start, end))
