@@ -39,6 +39,8 @@ LENGTH = 1 << 15
 IDF_UNIT = 1 << 10
 #: Rows that are made dense at a time: products of a slice stay exact in doubles.
 _SLICE = 1024
+#: Words that are looked up at a time.
+_PIECE = 1 << 18
 _LOW_BITS = 20
 
 CLUSTER_SCHEMA = T.StructType(
@@ -82,16 +84,27 @@ def _vocabulary(tokenised: DataFrame, size: int) -> list:
 
 
 def _slices(tokens: pa.ListArray, vocabulary: pa.Array, idf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The vectors of messages, some rows at a time, each with its first row's place."""
+    """The vectors of messages, some rows at a time, each with its first row's place.
+
+    Words are looked up in pieces, wherever messages end: what is held beside a
+    batch doesn't grow with the length of its messages.
+    """
     size = len(idf)
     for start in range(0, len(tokens), _SLICE):
         part = tokens.slice(start, _SLICE)
-        place = pc.fill_null(pc.index_in(part.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy(zero_copy_only=False))
-        cell = (row * size + place)[place >= 0]
-        raw = np.bincount(cell, minlength=len(part) * size).reshape(len(part), size) * idf.astype(float)
+        every = part.flatten()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(part).to_numpy(zero_copy_only=False))])
+        counts = np.zeros(len(part) * size, np.int64)
+        for first in range(0, len(every), _PIECE):
+            piece = every.slice(first, _PIECE)
+            place = pc.fill_null(pc.index_in(piece, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(part)), np.diff(np.clip(ends, first, first + len(piece))))
+            counts += np.bincount((row * size + place)[place >= 0], minlength=len(counts))
+        raw = counts.reshape(len(part), size) * idf.astype(float)
         norm = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
-        yield start, np.floor(LENGTH * raw / np.where(norm > 0, norm, 1))
+        raw *= LENGTH
+        raw /= np.where(norm > 0, norm, 1)
+        yield start, np.floor(raw, out=raw)
 
 
 def _make_points(distinct: DataFrame, names: list[str], idf: np.ndarray) -> DataFrame:
@@ -185,11 +198,12 @@ def _pass(points: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndar
         weights: dict[int, int] = {}
         costs: dict[int, int] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                slot = r["slot"]
-                sums[slot] = sums.get(slot, 0) + np.frombuffer(r["sums"], np.int64)
-                weights[slot] = weights.get(slot, 0) + r["weight"]
-                costs[slot] = costs.get(slot, 0) + int(r["cost"])
+            slots, shares, parts = (batch.column(n).to_pylist() for n in ("slot", "weight", "cost"))
+            for slot, weight, cost, summed in zip(slots, shares, parts, batch.column("sums")):
+                # A view of the batch: sums aren't copied before they are added.
+                sums[slot] = sums.get(slot, 0) + np.frombuffer(summed.as_buffer(), np.int64)
+                weights[slot] = weights.get(slot, 0) + weight
+                costs[slot] = costs.get(slot, 0) + int(cost)
         yield from rows(weights, costs, sums)
 
     done = points.mapInArrow(partial, schema).repartition("slot").mapInArrow(total, schema).collect()

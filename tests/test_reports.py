@@ -1,11 +1,13 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from datetime import datetime, timedelta
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,6 +299,25 @@ def test_cluster_sums_of_heavy_messages_are_exact(spark):
     assert weights.tolist() == [[heavy, heavy + 3]] and cost == [3 * 74 + heavy * 32768**2]
 
 
+def test_cluster_vectors_of_long_messages_are_made_in_pieces():
+    """Words of a batch of long messages are looked up in pieces that end anywhere, also within a message."""
+    names, idf = ["a", "b", "c"], np.array([3, 5, 7])
+    draw = np.random.default_rng(2)
+    lengths = np.array([0, 700_000, 3, 0, 1_200_000, 0, 1, 600_000, 0])
+    drawn = draw.integers(0, 4, lengths.sum())
+    tokens = pa.ListArray.from_arrays(np.concatenate([[0], lengths.cumsum()]).astype(np.int32), pa.array([*names, "other"]).take(drawn))
+    tracemalloc.start()
+    try:
+        (start, got), = clusters._slices(tokens, pa.array(names), idf)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    want = np.array([[(own == i).sum() for i in range(3)] for own in np.split(drawn, lengths.cumsum()[:-1])]) * idf.astype(float)
+    norm = np.sqrt((want * want).sum(axis=1, keepdims=True))
+    assert start == 0 and got.tolist() == np.floor((1 << 15) * want / np.where(norm > 0, norm, 1)).tolist()
+    assert peak < 20e6  # eight bytes for each of the words are 20 MB
+
+
 def test_worker_summary(spark, lines):
     texts = [
         "[Sun Mar 02 07:15:18 2025] [error] workerEnv in error state 6",
