@@ -336,10 +336,13 @@ def fit_clusters(
     return ClusterModel(names, weights, centroids[best], costs[best], done)
 
 
-def label_errors(logs: DataFrame, model: ClusterModel, stopped: Iterable[str] | None = None) -> DataFrame:
+def label_errors(
+    logs: DataFrame, model: ClusterModel, stopped: Iterable[str] | None = None, messages: bool = True
+) -> DataFrame:
     """Every error message with its nearest cluster and the squared distance to
     it, in units of ``1 / LENGTH``: ``message``, ``cluster``, ``distance``. Of
-    equal distances the lower cluster counts. Messages are not shuffled."""
+    equal distances the lower cluster counts. Messages are not shuffled, and
+    without ``messages`` only their words are handed to Python."""
     stopped = list(stop_words() if stopped is None else stopped)
     names, idf, centroids = model.words, model.idf, model.centroids[None]
 
@@ -348,17 +351,15 @@ def label_errors(logs: DataFrame, model: ClusterModel, stopped: Iterable[str] |
         for batch in batches:
             for start, dense in _slices(batch.column("tokens"), vocabulary, idf):
                 label, distance = _nearest(dense, centroids)
+                own = [batch.column(n).slice(start, len(dense)) for n in kept]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("message").slice(start, len(dense)),
-                        pa.array(label[:, 0], pa.int32()),
-                        pa.array(distance[:, 0], pa.int64()),
-                    ],
-                    names=["message", "cluster", "distance"],
+                    [*own, pa.array(label[:, 0], pa.int32()), pa.array(distance[:, 0], pa.int64())],
+                    names=[*kept, "cluster", "distance"],
                 )
 
-    tokenised = _errors(logs).withColumn("tokens", words(F.col("message"), stopped))
-    return tokenised.mapInArrow(run, "message string, cluster int, distance long")
+    kept = ["message"] if messages else []
+    tokenised = _errors(logs).select(*kept, words(F.col("message"), stopped).alias("tokens"))
+    return tokenised.mapInArrow(run, "".join(f"{n} string, " for n in kept) + "cluster int, distance long")
 
 
 def cluster_errors(
@@ -368,8 +369,10 @@ def cluster_errors(
     restarts: int = fv.CLUSTER_RESTARTS,
     stopped: Iterable[str] | None = None,
     max_features: int = fv.CLUSTER_VOCABULARY,
+    messages: bool = True,
 ) -> DataFrame:
-    """Every error message with a cluster label: ``message``, ``cluster``.
+    """Every error message with a cluster label: ``message``, ``cluster``;
+    without ``messages`` a row for each with its label only.
 
     TF-IDF over the ``max_features`` most frequent words (so many rows reach
     the driver; the others take no part), then K-means, the best of several
@@ -381,12 +384,13 @@ def cluster_errors(
     if n_clusters < 1:
         raise ValueError("at least one cluster")
     stopped = list(stop_words() if stopped is None else stopped)
+    columns = CLUSTER_SCHEMA.names if messages else ["cluster"]
     model = fit_clusters(logs, n_clusters, seed, restarts, stopped, max_features)
     if model is None:
-        return logs.sparkSession.createDataFrame([], CLUSTER_SCHEMA)
+        return logs.sparkSession.createDataFrame([], CLUSTER_SCHEMA).select(*columns)
     if len(model.centroids) < 2:
-        return _errors(logs).select("message", F.lit(0).alias("cluster"))
-    return label_errors(logs, model, stopped).select("message", "cluster")
+        return _errors(logs).withColumn("cluster", F.lit(0)).select(*columns)
+    return label_errors(logs, model, stopped, messages).select(*columns)
 
 
 def cluster_sizes(clusters: DataFrame) -> DataFrame:

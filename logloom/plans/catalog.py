@@ -435,18 +435,14 @@ def _document_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _document_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster_errors(_document_errors(spark, sf_dir))
-
-
 @query
 def error_clusters(spark, sf_dir):
-    return _document_clusters(spark, sf_dir)
+    return cluster_errors(_document_errors(spark, sf_dir))
 
 
 @query
 def error_cluster_sizes(spark, sf_dir):
-    return cluster_sizes(_document_clusters(spark, sf_dir))
+    return cluster_sizes(cluster_errors(_document_errors(spark, sf_dir), messages=False))
 
 
 @query

@@ -318,6 +318,16 @@ def test_cluster_vectors_of_long_messages_are_made_in_pieces():
     assert peak < 20e6  # eight bytes for each of the words are 20 MB
 
 
+@pytest.mark.parametrize("errors, clusters", [(30, 5), (6, 1), (1, 5)])
+def test_cluster_labels_without_messages(spark, errors, clusters):
+    """The same labels, and messages don't go through Python for them."""
+    whole, bare = (L.cluster_errors(errors_log(spark, errors), clusters, messages=m) for m in (True, False))
+    assert bare.columns == ["cluster"] and bare.schema["cluster"].dataType == whole.schema["cluster"].dataType
+    assert L.cluster_sizes(bare).collect() == L.cluster_sizes(whole).collect()
+    plan = bare._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan or "message" not in plan.split("MapInArrow")[1].split("\n")[0]
+
+
 def test_worker_summary(spark, lines):
     texts = [
         "[Sun Mar 02 07:15:18 2025] [error] workerEnv in error state 6",
